@@ -15,6 +15,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphloom.llm.hmm_lm import hmm_scores
+
+    return hmm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphloom.llm.line_dedup import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphloom.llm.ngram_jaccard import jaccard_join
 
@@ -38,4 +50,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from glyphloom.llm import line_dedup
+
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL}
