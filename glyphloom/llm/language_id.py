@@ -162,16 +162,19 @@ def _predict(languages: list[str], logs: np.ndarray, bits: int, most: int, penal
                     score.append(float(min(1.0, pi[o[0]])))
                     shares.append([{"lang": languages[cols[x]], "share": float(pi[x])} for x in o])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)], names=["doc_id", "lang_pred", "score", "languages"])
+            out = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "languages", *batch.schema.names[3:]])
 
     return run
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, bits: int = BITS, most: int = MOST, penalty: float = PENALTY) -> DataFrame:
-    """doc_id, lang_pred, score, languages (array of lang and share) for every row of docs (doc_id, text)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = (), bits: int = BITS, most: int = MOST, penalty: float = PENALTY) -> DataFrame:
+    """doc_id, lang_pred, score, languages (array of lang and share) for every row of docs (doc_id, text); columns to keep follow, named kept_*."""
     languages, logs = model
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return ready.mapInArrow(_predict(languages, logs, bits, most, penalty), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *kept)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[3:])
+    return ready.mapInArrow(_predict(languages, logs, bits, most, penalty), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>" + extra)
 
 
 def fold(modulus: int):

@@ -90,8 +90,8 @@ def suffix_ranks(docs: DataFrame, depth: int | None = None) -> list[tuple[int, D
     return out
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_removed, text (what is kept) for every row of docs (doc_id, text)."""
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, keep: list[str] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, text (what is left) for every row of docs (doc_id, text); columns to keep follow, named kept_*."""
     work = Workspace(docs.sparkSession, "lines")
     levels = suffix_ranks(docs, min_lines)
     single = levels[0][1].where("later").where(F.col("chars") >= min_chars).select("doc_id", "th", "j")
@@ -99,7 +99,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     places = levels[0][1].select("doc_id", "th", "j", "i")
     gone = places.join(single.union(deepest).distinct(), ["doc_id", "th", "j"], "left_semi")
     gone = work.keep(gone.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone")), "removed")
-    split = _prepare(docs).select("doc_id", "th", F.split("text", "\n").alias("lines"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.split(F.col("text").cast("string"), "\n").alias("lines"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     both = split.join(gone, ["doc_id", "th"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return both.select(
@@ -107,6 +107,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n")).alias("text"),
+        *[f"kept_{c}" for c in keep],
     )
 
 
