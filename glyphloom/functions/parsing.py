@@ -7,6 +7,8 @@ in Arrow batches.  ``plan`` says which.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,36 +152,33 @@ def parse(text: Column | str, grammar: Rule, **options) -> Column:
 
 
 def project(text: Column | str, grammar: Rule, value, kind: str, **options) -> Column:
-    """``value(result)`` of each accepted text as a column of type ``kind``; null for rejected texts."""
+    """``value(result)`` of each accepted text as a column of type ``kind``; null for rejected texts and where ``value`` raises ValueError or ArithmeticError."""
     grammar = _ready(grammar)
     settings = vm.Options(**options)
     program = None
 
-    def run(column):
+    def one(t: str | None) -> tuple:
+        """(value,) of an accepted text, else ()."""
         nonlocal program
         if program is None:
             program = vm.Program(grammar, settings.preserve_all)
-        out = []
-        for t in column:
-            r = None if t is None else vm.parse(program, t, settings)
-            out.append(value(r) if r is not None and r.success else None)
-        return out
+        r = None if t is None else vm.parse(program, t, settings)
+        try:
+            return (value(r),) if r is not None and r.success else ()
+        except (ValueError, ArithmeticError):
+            return ()
 
     if kind == "variant":
-        def one(t):
-            nonlocal program
-            if program is None:
-                program = vm.Program(grammar, settings.preserve_all)
-            r = None if t is None else vm.parse(program, t, settings)
-            import json
 
-            return json.dumps(value(r)) if r is not None and r.success else None
+        def as_json(column: pa.Array) -> pa.Array:
+            return pa.array([json.dumps(got[0]) if (got := one(t)) else None for t in column.to_pylist()], pa.string())
 
-        return F.try_parse_json(F.udf(one, "string", useArrow=True)(_col(text)))
+        as_json.__annotations__ = {"column": pa.Array, "return": pa.Array}
+        return F.try_parse_json(F.arrow_udf(as_json, "string")(_col(text)))
     arrow = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[kind]
 
     def batch(column: pa.Array) -> pa.Array:
-        return pa.array(run(column.to_pylist()), arrow)
+        return pa.array([got[0] if (got := one(t)) else None for t in column.to_pylist()], arrow)
 
     batch.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(batch, kind)(_col(text))

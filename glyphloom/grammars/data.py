@@ -136,13 +136,8 @@ def arithmetic_python(n: vm.Node, text: str) -> int:
 
 
 def arithmetic_value(text: Column | str) -> Column:
-    def value(r: vm.Result) -> int | None:
-        try:
-            return arithmetic_python(r.nodes[0], r.parsed)
-        except ZeroDivisionError:
-            return None
-
-    return parsing.project(text, arithmetic(), value, "long")
+    """The values as longs; null where there is none."""
+    return parsing.project(text, arithmetic(), lambda r: arithmetic_python(r.nodes[0], r.parsed), "long")
 
 
 def setting() -> g.Rule:
