@@ -25,7 +25,7 @@ order by one space.
 
 Defined results: null or empty html: empty text.  Null url: the page is its own
 host's only one.  Null page_id and repeated rows: rows like any other; exact
-copies of a page count once in the vectors.  Other columns are ignored.
+copies of a page count once in the vectors, pages without tags or text not at all.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAG
     """host, class (of equal occurrence vectors), tokens (array of hashes) of the valid classes."""
     work = Workspace(pages.sparkSession, "templates")
     seen = _hosted(pages).where("host is not null").select("host", "html").mapInArrow(_tokens, "host string, page long, keys array<long>, counts array<int>")
-    different = work.keep(seen.groupBy("host", "page").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts")), "pages")
+    different = work.keep(seen.where(F.size("keys") > 0).groupBy("host", "page").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts")), "pages")
     sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
     each = different.select("host", "page", F.explode(F.arrays_zip("keys", "counts")).alias("t")).select("host", "page", F.col("t.keys").alias("token"), F.col("t.counts").alias("n"))
     # two sums of count * hash(page): equal vectors, equal sums (in decimals: no overflow)
