@@ -139,7 +139,7 @@ accepts("identifier_ecmascript", lambda: formats.identifier_profile("ecmascript"
 accepts("no_leading_zero", formats.no_leading_zero, ["0", "10", "907"], ["01", "", "a"])
 # Clusters: e + U+0301 is one token, as are CRLF, a flag and a joined emoji.
 accepts("cluster_token", lambda: g.seq(g.token("e"), g.token("x")), ["ex"], ["éx", "xe", "e"])
-golden("cluster_count", {"éx": 2, "\r\n": 1, "\U0001f1e9\U0001f1ea": 1, "\U0001f468‍\U0001f469": 1, "": 0, "ab": 2}, lambda c: text.grapheme_count(c).cast("long"), "BIGINT")
+golden("cluster_count", {"éx": 2, "\r\n": 1, "\U0001f1e9\U0001f1ea": 1, "\U0001f468\u200d\U0001f469": 1, "": 0, "ab": 2}, lambda c: text.grapheme_count(c).cast("long"), "BIGINT")
 golden("cluster_first_length", {"éx": 2, "\U0001f600a": 2, "": 0}, lambda c: text.first_cluster_length(c).cast("long"), "BIGINT")
 golden("cluster_floor", {"aéx": 1, "abcd": 2}, lambda c: text.floor_to_cluster_start(c, 2).cast("long"), "BIGINT")
 golden("normalized_match", {"é": True, "é": True, "e": False}, lambda c: parsing.matches(c, g.literal("é"), normalize=True), "BOOLEAN")
