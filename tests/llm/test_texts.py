@@ -244,7 +244,7 @@ def test_token_counts(docs):
     want = Counter()
     for i, t in table(docs):
         raw = (t or "").encode()
-        lines = raw.splitlines(keepends=True) if False else [x for x in re.split(rb"(?<=\n)", raw) if x] or [b""]
+        lines = [x for x in re.split(rb"(?<=\n)", raw) if x] or [b""]
         spans, at = [], 0
         for x in lines:
             spans.append((at, at + len(x)))
