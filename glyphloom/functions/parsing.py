@@ -184,6 +184,38 @@ def project(text: Column | str, grammar: Rule, value, kind: str, **options) -> C
     return F.arrow_udf(batch, kind)(_col(text))
 
 
+def node_function(grammar: Rule, **options):
+    """A table function of the nodes of a text, for lateral joins: ``spark.udtf.register("nodes", node_function(g))``."""
+    grammar = _ready(grammar)
+    settings = vm.Options(**options)
+
+    class Nodes:
+        def __init__(self):
+            self.program = vm.Program(grammar, settings.preserve_all)
+
+        def eval(self, text: str):
+            if text is not None:
+                r = vm.parse(self.program, text, settings)
+                if r.success:
+                    for n in flat_nodes(r):
+                        yield tuple(n.values())
+
+    return F.udtf(Nodes, returnType=NODE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ").replace("end int", "`end` int").replace("subtree_`end` int", "subtree_end int"))
+
+
+def trace(text: Column | str, grammar: Rule, **options) -> Column:
+    """The steps of each parse as lines, for debugging grammars."""
+    grammar = _ready(grammar)
+    settings = vm.Options(**{**options, "trace": True})
+
+    def run(column: pa.Array) -> pa.Array:
+        program = vm.Program(grammar, settings.preserve_all)
+        return pa.array([None if t is None else vm.parse(program, t, settings).trace for t in column.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(_col(text))
+
+
 def parse_with_errors(df: DataFrame, text: str, grammar: Rule, into: str = "parsed", **options) -> DataFrame:
     """Adds (accepted, error_message, error); the machine sees only the rows that the pattern rejects."""
     grammar = _ready(grammar)

@@ -311,6 +311,18 @@ def any_order(*items: g.Rule) -> g.Rule:
     return g.custom(match, *items)
 
 
+def lookbehind(inner: g.Rule) -> g.Rule:
+    """Consumes nothing; the inner rule must match some stretch that ends here."""
+
+    def match(c: vm.Cursor, at: int, steps: list) -> int | None:
+        saved = c.failures()
+        found = any(c.on_boundary(start) and steps[0](start) == at for start in range(at, -1, -1))
+        c.restore(saved)
+        return at if found else None
+
+    return g.custom(match, inner).shape(g.DELETE)
+
+
 def box() -> g.Rule:
     """width, height and depth, each once, in any order."""
     attribute = lambda n: g.seq(g.optional(g.inline_whitespace()), g.literal(n), g.token("="), g.scan_while(Ascii.DIGITS).as_(n)).with_error(f"expected the '{n}' attribute")

@@ -214,6 +214,20 @@ def test_columns_and_trees(spark):
     assert p.p.line == 1 and p.u == 5 and p.n is False
 
 
+def test_table_function_trace_and_lookbehind(spark):
+    from glyphloom.grammars.formats import lookbehind
+
+    word = g.scan_while(Ascii.LETTERS).as_("word")
+    spark.udtf.register("nodes_of", parsing.node_function(g.seq(word, g.zero_or_more(g.seq(g.token(" "), g.alias(word))))))
+    spark.createDataFrame([(1, "a bc"), (2, "1"), (3, None)], "id long, t string").createOrReplaceTempView("texts_in")
+    got = spark.sql("SELECT id, n.text, n.start FROM texts_in, LATERAL nodes_of(t) n").collect()
+    assert {(r.id, r.text, r.start) for r in got} == {(1, "a", 0), (1, "bc", 2)}
+    steps = spark.table("texts_in").where("id = 2").select(parsing.trace("t", g.token("a")).alias("x")).first().x
+    assert steps == ["token at 0: failed"]
+    after_b = g.seq(g.scan_while("abc"), lookbehind(g.literal("b")), g.token("!"))
+    assert run(after_b, "acb!").success and not run(after_b, "abc!").success
+
+
 def test_stream_and_sources(spark, tmp_path):
     from glyphloom.sources import texts
     from pyspark.sql import functions as F
