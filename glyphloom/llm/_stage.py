@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -41,7 +42,17 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # The shuffle files of a write that has ended are of no more use: without
+        # this they stay until the driver happens to collect its garbage.
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         return out
@@ -87,4 +98,5 @@ def components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> Data
         before = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    leaves = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    return leaves.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -16,12 +16,13 @@ Method (AdaptJoin; Wang, Li & Feng, SIGMOD 2012, spread over a cluster):
   ``light`` per row.
 * A pair is verified only when it shares so many prefix grams that the required
   overlap can still be reached.
-* First each document is compared with the least document it shares most grams
+* First each document is compared with the pivot document it shares most grams
   with (a star); pairs inside one component need no further comparison, so a
   group of copies costs one comparison for each member, not all pairs.
+  Heavy groups take several turns with other pivots, while that joins components.
 * Documents almost wholly made of heavy grams (``>= 0.75 n``) cannot be reached
-  through a light gram.  They are compared with each other by their 1-prefixes,
-  across components only, with no cap.
+  through a light gram.  What then still lies in different components is compared
+  by their 1-prefixes, with no cap.
 
 Defined results: null or empty text, or text without words: empty set, linked
 with nothing, its own component.  Null ``doc_id``: its own component, null.
@@ -37,11 +38,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed
+from glyphloom.llm._packed import SCHEMA as PACKED
+from glyphloom.llm._packed import packing, shared_rows
 from glyphloom.llm._stage import Workspace, components
 
 WORDS = 5
 PERCENT = 75
 LIGHT = 48
+# In lengthened prefixes a gram may be so many times as frequent before it is heavy.
+REACH = 2
+# Turns of stars at most; a turn's pivots must share so much of a prefix to be tried,
+# and one in 1/YIELD of them must link for another turn.  These only save work.
+TURNS = 6
+SHARE = 0.3
+YIELD = 0.02
 
 
 def gram_sets(column: pa.Array, words: int = WORDS):
@@ -87,6 +97,12 @@ def _profiles(words: int, percent: int):
     return run
 
 
+def _prefix_pairs(batch: pa.RecordBatch):
+    lists = batch.column(1)
+    size = np.diff(np.asarray(lists.offsets))
+    yield lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.asarray(batch.column(0)), size)
+
+
 def _verifier(words: int, percent: int):
     """Keeps the pairs of texts that link; texts of one document come in runs, so sets are reused."""
 
@@ -127,31 +143,45 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def _extend(words: int, percent: int):
-    """For each document and its heavy grams: its light grams in the least l-prefix that holds fewer than l heavy ones."""
+    """For each document with ``hot`` heavy grams in its 1-prefix: its prefix, longer by about twice what they call for; all grams if hot < 0."""
 
     def run(batches):
         for batch in batches:
-            ids, heavy = batch.column(0), batch.column(2)
-            out, sizes, last, seen, full, rest = [], [], [], [], [], []
+            hot = batch.column(2).to_pylist()
+            out, sizes = [], []
             for i, s in enumerate(gram_sets(batch.column(1), words)):
-                h = np.asarray(heavy[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                hot = np.isin(s, h, assume_unique=True)
                 p = len(s) - need(len(s), percent) + 1
-                behind = np.cumsum(hot)
+                more = 2 * hot[i] * p // max(1, p - hot[i]) + 4
+                out.append(s if hot[i] < 0 else s[: p + more])
+                sizes.append(len(out[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(signed(np.concatenate(out)), np.array(sizes))], names=["doc_id", "grams"])
+
+    return run
+
+
+def _resolve(percent: int):
+    """The least l-prefix with fewer than l heavy grams: its last gram, heavy grams in it, grams behind it.
+
+    full: the document has no such prefix; open: it may lie beyond the grams given.
+    """
+
+    def run(batches):
+        for batch in batches:
+            last, seen, rest, full, wide = [], [], [], [], []
+            for n, grams_, heavy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                s = grams_.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                hot = np.isin(s, heavy.values.to_numpy(zero_copy_only=False).view(np.uint64)) if heavy.is_valid else np.zeros(len(s), dtype=bool)
                 # l-1 heavy and p light grams make the wanted l-prefix
-                light = np.cumsum(~hot)
-                end = int(np.searchsorted(light, p)) + 1
-                full.append(end > len(s))
+                end = int(np.searchsorted(np.cumsum(~hot), n - need(n, percent) + 1)) + 1
+                full.append(end > n)
+                wide.append(end > len(s) and len(s) < n)
                 end = min(end, len(s))
-                keep = s[:end][~hot[:end]]
-                out.append(keep)
-                sizes.append(len(keep))
-                last.append(s[end - 1] if end else np.uint64(0))
-                seen.append(int(behind[end - 1]) if end else 0)
-                rest.append(len(s) - end)
+                last.append(s[end - 1])
+                seen.append(int(hot[:end].sum()))
+                rest.append(n - end)
             yield pa.RecordBatch.from_arrays(
-                [ids, list_array(signed(np.concatenate(out)), np.array(sizes)), pa.array(signed(np.array(last, dtype=np.uint64))), pa.array(np.array(seen, dtype=np.int64)), pa.array(np.array(rest, dtype=np.int64)), pa.array(full, pa.bool_())],
-                names=["doc_id", "grams", "last", "hot", "rest", "full"],
+                [batch.column(0), pa.array(signed(np.array(last, dtype=np.uint64))), pa.array(seen, pa.int64()), pa.array(rest, pa.int64()), pa.array(full, pa.bool_()), pa.array(wide, pa.bool_())],
+                names=["doc", "last", "hot", "rest", "full", "open"],
             )
 
     return run
@@ -179,84 +209,110 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return same.where(F.col("shared") + F.least("hot_x", "hot_y") + behind >= wanted).select("x", "y")
 
 
+def _star(rows: DataFrame, sizes: DataFrame, percent: int, share: float) -> DataFrame:
+    """(x, y): each document y of rows (doc, pivot) with the pivot it shares most grams with, at least ``share`` of its prefix."""
+    pivot = sizes.select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"))
+    both = rows.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("k")).join(sizes.select("doc", "n"), "doc").join(pivot, "pivot")
+    both = both.where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).where(F.col("k") >= share * (100 - percent) / 100.0 * F.col("n"))
+    return both.groupBy("doc").agg(F.max(F.struct(F.col("k"), (-F.col("pivot")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("x"), F.col("doc").alias("y"))
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = work.keep(docs.mapInArrow(_profiles(words, percent), "doc_id long, n long, c1 long, c2 long, prefix array<long>"), "profiles")
-    classes = work.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = base.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "n", "c1", "c2"), ["doc_id", "n", "c1", "c2"], "left_semi")
-    prefixes = reps.select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("tok"))
-
-    # Shared grams, and the least document of each.
-    shared = prefixes.groupBy("tok").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "n")).alias("least")).where("cnt > 1")
-    rows = work.keep(prefixes.join(shared, "tok").select("tok", "doc", "n", "last", "cnt", F.col("least.doc").alias("least"), F.col("least.n").alias("least_n")), "shared")
-
-    # The star: each document with the least document it shares most grams with.
-    star = (
-        rows.where("doc <> least").where(F.least("n", "least_n") * 100 >= F.greatest("n", "least_n") * percent)
-        .groupBy("doc", "least").agg(F.count("*").alias("k"))
-        .groupBy("doc").agg(F.max(F.struct(F.col("k"), (-F.col("least")).alias("m"))).alias("best"))
-        .select((-F.col("best.m")).alias("x"), F.col("doc").alias("y"))
-    )
-    star = work.keep(star, "star")
-    wanted = rows.select("doc").distinct()
-    texts = work.keep(docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").distinct(), "texts")
+    classes = work.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    copies = base.select("doc_id", "n", "c1", "c2").join(classes.where("members > 1"), ["n", "c1", "c2"]).where("doc_id > rep").select("doc_id")
+    reps = base.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
+
+    # Shared grams, each with its count and a pivot document.
+    packed = reps.select("doc_id", "prefix").mapInArrow(packing(parts, _prefix_pairs), PACKED)
+    rows = work.keep(shared_rows(packed, parts), "shared")
+    sizes = work.keep(reps.select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last")).dropDuplicates(["doc"]).join(rows.select("doc").distinct(), "doc", "left_semi"), "sizes")
+
+    slim = work.keep(base.drop("prefix"), "sets")
+    work.drop(base)
+
+    # Stars: each document with the pivot it shares most grams with, then, in groups
+    # of heavy grams, with other pivots as long as that links components.
+    texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").distinct(), "texts")
+    star = work.keep(_star(rows, sizes, percent, 0.0), "star")
     links = work.keep(_verify(star, texts, words, percent), "star-links")
-    comp = work.keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
+    tried, linked = star, links
+    crowded = work.keep(rows.where(F.col("cnt") > light).select("tok", "doc"), "crowded")
+    for turn in range(1, TURNS + 1):
+        comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
+        about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about")
+        if turn == TURNS:
+            break
+        placed = crowded.join(about.select("doc", "comp"), "doc")
+        pivots = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "comp")).alias("p")).where("lo <> hi")
+        again = placed.join(pivots.select("tok", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "tok").where("comp <> pivot_comp")
+        star = work.keep(_star(again, sizes, percent, SHARE), "star")
+        count = star.count()
+        if not count:
+            break
+        links = work.keep(_verify(star, texts, words, percent), "star-links")
+        tried, linked = tried.union(star), linked.union(links)
+        if links.count() < YIELD * count:
+            comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
+            about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about")
+            break
 
     # Grams whose documents lie in different components.
-    known = rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component", "least", "least_n")
-    known = work.keep(known, "known")
-    work.drop(rows)
+    known = work.keep(rows.select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "known")
+    work.drop(rows, crowded)
     split = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    mixed = work.keep(known.join(split, "tok", "left_semi"), "mixed")
+    mixed = work.keep(known.join(split, "tok", "left_semi").select("tok", "doc", "cnt"), "mixed")
     work.drop(known)
 
-    hot = mixed.where(F.col("cnt") > light).groupBy("doc").agg(F.count("*").alias("hot"), F.collect_set("tok").alias("heavy"))
+    hot = mixed.where(F.col("cnt") > light).groupBy("doc").agg(F.count("*").alias("hot"))
     behind = F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)) - 1
-    easy = mixed.where(F.col("cnt") <= light).join(hot.select("doc", "hot"), "doc", "left")
+    easy = mixed.where(F.col("cnt") <= light).join(about.join(hot, "doc", "left"), "doc")
     easy = easy.select("tok", "doc", "comp", "n", "last", behind.alias("rest"), F.coalesce("hot", F.lit(0)).alias("hot"))
     found = [_pairs(easy, percent)]
 
-    # Documents with heavy grams: longer prefixes, until no gram beyond them is heavy.
-    state = work.keep(hot.select("doc", "heavy"), "heavy")
-    about = mixed.select("doc", "comp", "n").distinct()
-    extended = None
-    while state.limit(1).count():
-        ext = work.keep(
-            texts.join(state.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "heavy").mapInArrow(_extend(words, percent), "doc_id long, grams array<long>, last long, hot long, rest long, full boolean"), "extended"
-        )
-        rows = ext.select(F.col("doc_id").alias("doc"), "last", "hot", "rest", "full", F.explode("grams").alias("tok")).join(about, "doc")
-        counts = rows.groupBy("tok").agg(F.count("*").alias("cnt"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        extended = work.keep(rows.join(counts.select("tok", "cnt"), "tok"), "extended-rows")
-        more = extended.where(F.col("cnt") > light).groupBy("doc").agg(F.collect_set("tok").alias("more"))
-        grown = state.join(more, "doc", "left").select("doc", F.when(F.col("more").isNull(), F.col("heavy")).otherwise(F.array_union("heavy", "more")).alias("heavy"), F.col("more").isNotNull().alias("grew"))
-        grown = work.keep(grown, "heavy")
-        if not grown.where("grew").limit(1).count():
-            whole = ext.where("full").select(F.col("doc_id").alias("doc"))
-            rest = extended.where(F.col("cnt") <= light)
-            found.append(_pairs(rest.select("tok", "doc", "comp", "n", "last", "rest", "hot"), percent))
-            # Nearly all of their grams are heavy: every pair across components, by 1-prefixes.
-            hard = mixed.join(whole, "doc", "left_semi").select("tok", "doc", "comp", "n")
-            x, y = (hard.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "comp", "n")]) for s in "xy")
-            found.append(x.join(y, "tok").where("doc_x < doc_y and comp_x <> comp_y").where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent).select(F.col("doc_x").alias("x"), F.col("doc_y").alias("y")).distinct())
-            break
-        state = grown.select("doc", "heavy")
+    # Documents with heavy grams: longer prefixes.  A gram is heavy here if more than REACH * light of these prefixes hold it.
+    wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy")
+    grams_ = None
+    while wanted.limit(1).count():
+        ext = texts.join(wanted, "doc_id").select("doc_id", "text", "hot").mapInArrow(_extend(words, percent), "doc_id long, grams array<long>")
+        grams_ = work.keep(ext if grams_ is None else grams_.join(wanted, "doc_id", "left_anti").union(ext), "extended")
+        packed = grams_.mapInArrow(packing(parts, _prefix_pairs), PACKED)
+        rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "extended-rows")
+        split = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+        extended = work.keep(rows.join(split, "tok", "left_semi"), "extended-mixed")
+        work.drop(rows)
+        skip = extended.where(F.col("cnt") > REACH * light).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("tok").alias("skip"))
+        sized = grams_.join(about.select(F.col("doc").alias("doc_id"), "n"), "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip")
+        meta = work.keep(sized.mapInArrow(_resolve(percent), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
+        wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open")
+        if wanted.limit(1).count():
+            work.drop(extended)
+            continue
+        ready = extended.where(F.col("cnt") <= REACH * light).join(meta, "doc").where(_u("tok") <= _u("last")).join(about.select("doc", "n"), "doc")
+        found.append(_pairs(ready.select("tok", "doc", "comp", "n", "last", "rest", "hot"), percent))
+        # Nearly all of their grams are heavy: every pair across components, by 1-prefixes.
+        whole = meta.where("full").select("doc")
+        hard = mixed.join(whole, "doc", "left_semi").join(about, "doc").select("tok", "doc", "comp", "n", "last", behind.alias("rest"), F.lit(0).alias("hot"))
+        found.append(_pairs(hard, percent))
+        break
 
     candidates = found[0]
     for f in found[1:]:
         candidates = candidates.union(f)
-    tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    tried = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     candidates = work.keep(candidates.distinct().join(tried, ["x", "y"], "left_anti"), "candidates")
     more = work.keep(_verify(candidates, texts, words, percent), "more-links")
     work.drop(texts, mixed)
-    both = links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = work.keep(components(both, work), "components")
 
     member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    return base.select("doc_id", "n", "c1", "c2").join(member, ["n", "c1", "c2"], "left").select(
+    return slim.join(member, ["n", "c1", "c2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
