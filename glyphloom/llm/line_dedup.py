@@ -100,7 +100,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     gone = places.join(single.union(deepest).distinct(), ["doc_id", "th", "j"], "left_semi")
     gone = work.keep(gone.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone")), "removed")
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.split(F.col("text").cast("string"), "\n").alias("lines"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    both = split.join(gone, ["doc_id", "th"], "left")
+    # what is removed grows with the input: never broadcast, also where it happens to be small
+    both = split.join(gone.hint("shuffle_merge"), ["doc_id", "th"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return both.select(
         "doc_id",
