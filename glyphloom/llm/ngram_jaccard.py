@@ -21,8 +21,9 @@ Method (AdaptJoin; Wang, Li & Feng, SIGMOD 2012, spread over a cluster):
   group of copies costs one comparison for each member, not all pairs.
   Heavy groups take several turns with other pivots, while that joins components.
 * Documents almost wholly made of heavy grams (``>= 0.75 n``) cannot be reached
-  through a light gram.  What then still lies in different components is compared
-  by their 1-prefixes, with no cap.
+  through a light gram.  Those that share 1-prefix grams form families, which are
+  compared whole, in pairs of blocks of bounded size; a pair of blocks returns a
+  spanning forest of its links and never its pairs.
 
 Defined results: null or empty text, or text without words: empty set, linked
 with nothing, its own component.  Null ``doc_id``: its own component, null.
@@ -52,6 +53,9 @@ REACH = 2
 TURNS = 6
 SHARE = 0.3
 YIELD = 0.02
+# Documents of a block, and grams of a matrix, in the comparison of families.
+BLOCK = 256
+WIDE = 8192
 
 
 def gram_sets(column: pa.Array, words: int = WORDS):
@@ -135,10 +139,11 @@ def _verifier(words: int, percent: int):
     return run
 
 
+# Joins that carry texts never broadcast their other side, as that grows with the input.
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    both = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "tx", "ty")
+    both = pairs.select("x", "y").join(one.hint("shuffle_merge"), "x").join(two.hint("shuffle_merge"), "y").select("x", "y", "tx", "ty")
     return both.mapInArrow(_verifier(words, percent), "x long, y long")
 
 
@@ -217,6 +222,72 @@ def _star(rows: DataFrame, sizes: DataFrame, percent: int, share: float) -> Data
     return both.groupBy("doc").agg(F.max(F.struct(F.col("k"), (-F.col("pivot")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("x"), F.col("doc").alias("y"))
 
 
+def _block_links(words: int, percent: int):
+    """Links inside a block, or between two, of a family: intersection sizes as a product of 0-1 matrices; a spanning forest of them is returned."""
+
+    def compare(docs: list[tuple[int, int, str]], bi: int, bj: int) -> list[tuple[int, int]]:
+        sets = list(gram_sets(pa.array([t for _, _, t in docs], pa.large_string()), words))
+        size = np.array([len(s) for s in sets])
+        grams_, place = np.unique(np.concatenate(sets), return_inverse=True)
+        common = np.bincount(place) > 1  # grams of one document alone meet nothing
+        column = np.cumsum(common) - 1
+        row = np.repeat(np.arange(len(sets)), size)
+        keep = common[place]
+        own = np.array([b for _, b, _ in docs])
+        left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for lo in range(0, int(common.sum()), WIDE):
+            part = keep & (column[place] >= lo) & (column[place] < lo + WIDE)
+            m = np.zeros((len(sets), WIDE), dtype=np.float32)
+            m[row[part], column[place[part]] - lo] = 1
+            both += m[left] @ m[right].T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (both > 0)
+        root = list(range(len(docs)))
+        out = []
+
+        def find(a: int) -> int:
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            return a
+
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = int(left[i]), int(right[j])
+            p, q = find(a), find(b)
+            if p != q:
+                root[p] = q
+                out.append((docs[a][0], docs[b][0]))
+        return out
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != last:
+                    links = compare(held, *last[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+                    held = []
+                last = row[:3]
+                held.append(row[3:])
+        if held:
+            links = compare(held, *last[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+
+    return run
+
+
+def _families(hard: DataFrame, texts: DataFrame, parts: int, words: int, percent: int, work: Workspace) -> DataFrame:
+    """Links (x, y) among the documents of rows (tok, doc): documents joined by shared grams are a family, compared in pairs of blocks."""
+    pivots = hard.groupBy("tok").agg(F.min("doc").alias("b"))
+    family = work.keep(components(hard.join(pivots, "tok").select(F.col("doc").alias("a"), "b"), work), "families")
+    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    placed = family.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
+    rows = texts.join(placed, "doc_id").withColumn("p", F.explode(pair)).select("family", "p.bi", "p.bj", "doc_id", "own", "text")
+    return rows.repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj").mapInArrow(_block_links(words, percent), "x long, y long")
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -227,7 +298,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     base = work.keep(docs.mapInArrow(_profiles(words, percent), "doc_id long, n long, c1 long, c2 long, prefix array<long>"), "profiles")
     classes = work.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     copies = base.select("doc_id", "n", "c1", "c2").join(classes.where("members > 1"), ["n", "c1", "c2"]).where("doc_id > rep").select("doc_id")
-    reps = base.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
+    reps = base.where("n > 0 and doc_id is not null").join(copies.hint("shuffle_merge"), "doc_id", "left_anti")
 
     # Shared grams, each with its count and a pivot document.
     packed = reps.select("doc_id", "prefix").mapInArrow(packing(parts, _prefix_pairs), PACKED)
@@ -239,7 +310,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
 
     # Stars: each document with the pivot it shares most grams with, then, in groups
     # of heavy grams, with other pivots as long as that links components.
-    texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").distinct(), "texts")
+    texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").distinct(), "texts")
     star = work.keep(_star(rows, sizes, percent, 0.0), "star")
     links = work.keep(_verify(star, texts, words, percent), "star-links")
     tried, linked = star, links
@@ -278,9 +349,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
 
     # Documents with heavy grams: longer prefixes.  A gram is heavy here if more than REACH * light of these prefixes hold it.
     wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy")
-    grams_ = None
+    grams_ = hard = None
     while wanted.limit(1).count():
-        ext = texts.join(wanted, "doc_id").select("doc_id", "text", "hot").mapInArrow(_extend(words, percent), "doc_id long, grams array<long>")
+        ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(_extend(words, percent), "doc_id long, grams array<long>")
         grams_ = work.keep(ext if grams_ is None else grams_.join(wanted, "doc_id", "left_anti").union(ext), "extended")
         packed = grams_.mapInArrow(packing(parts, _prefix_pairs), PACKED)
         rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "extended-rows")
@@ -296,10 +367,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
             continue
         ready = extended.where(F.col("cnt") <= REACH * light).join(meta, "doc").where(_u("tok") <= _u("last")).join(about.select("doc", "n"), "doc")
         found.append(_pairs(ready.select("tok", "doc", "comp", "n", "last", "rest", "hot"), percent))
-        # Nearly all of their grams are heavy: every pair across components, by 1-prefixes.
+        # Nearly all of their grams are heavy: families of documents that share 1-prefix grams, block by block.
         whole = meta.where("full").select("doc")
-        hard = mixed.join(whole, "doc", "left_semi").join(about, "doc").select("tok", "doc", "comp", "n", "last", behind.alias("rest"), F.lit(0).alias("hot"))
-        found.append(_pairs(hard, percent))
+        hard = work.keep(mixed.join(whole, "doc", "left_semi").select("tok", "doc"), "hard")
         break
 
     candidates = found[0]
@@ -307,7 +377,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
         candidates = candidates.union(f)
     tried = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     candidates = work.keep(candidates.distinct().join(tried, ["x", "y"], "left_anti"), "candidates")
-    more = work.keep(_verify(candidates, texts, words, percent), "more-links")
+    more = _verify(candidates, texts, words, percent)
+    if hard is not None:
+        more = more.union(_families(hard, texts, parts, words, percent, work))
+    more = work.keep(more, "more-links")
     work.drop(texts, mixed)
     both = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = work.keep(components(both, work), "components")
