@@ -29,6 +29,8 @@ probability falls back to the uniform share.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +47,8 @@ ROUNDS = 2
 WARM = 12
 SAMPLE = 3000
 BUFFER = 1 << 21
+# Tokens that go through the recursions together: texts of like length share their steps.
+TOGETHER = 1 << 20
 
 
 def _flush_counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +127,26 @@ class Model:
         return Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def together(chunks_: Iterator[tuple], most: int = TOGETHER) -> Iterator[list[tuple]]:
+    """Chunks from ``sequences`` in lists of about ``most`` tokens."""
+    held, size = [], 0
+    for c in chunks_:
+        held.append(c)
+        size += len(c[4])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, begin) of several chunks as one."""
+    ids = np.concatenate([c[4] for c in held])
+    shift = np.cumsum([0, *[len(c[4]) for c in held]])
+    return ids, np.concatenate([*[c[5][:-1] + at for c, at in zip(held, shift, strict=False)], shift[-1:]])
+
+
 def _groups(begin: np.ndarray, rows: int = 512):
     """Texts of similar length, longest first: (texts, their lengths)."""
     size = np.diff(begin)
@@ -154,7 +178,7 @@ def expected(ids: np.ndarray, begin: np.ndarray, model: Model, sums: tuple[np.nd
     """Adds the texts' expected start, step and emission counts to ``sums`` (forward-backward, scaled)."""
     start, step, emit = sums
     k = len(model.start)
-    for docs, size in _groups(begin, 256):
+    for docs, size in _groups(begin):
         at, longest = begin[docs], int(size[0])
         live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
         rows = np.concatenate([[0], np.cumsum(live)])
@@ -190,8 +214,8 @@ def _baum_welch(head: Head, model: Model):
     def run(batches):
         sums = (np.zeros(k), np.zeros((k, k)), np.zeros((head.size, k)))
         for batch in batches:
-            for _, _, _, _, ids, begin in sequences(batch.column(0), head):
-                expected(ids, begin, model, sums)
+            for held in together(sequences(batch.column(0), head)):
+                expected(*joined(held), model, sums)
         start, step, emit = sums
         used = np.flatnonzero(emit.any(axis=1))
         word = np.concatenate([used, [-1], -2 - np.arange(k)]).astype(np.int32)
@@ -216,26 +240,31 @@ def _scores(head: Head, model: Model):
 
     def run(batches):
         for batch in batches:
-            for i, j, w, h, ids, begin in sequences(batch.column(2), head):
-                score = forward(ids, begin, model)
-                mine = ids == head.tail
-                at = np.arange(len(h)) + w.doc
-                tail = h[mine[at]]
-                doc = w.doc[mine[at]]
-                known = np.add.reduceat(np.append(head.logs[ids], 0.0), begin[:-1]) if j > i else np.zeros(0)
-                order = np.lexsort((tail, doc))
-                tail, doc = tail[order], doc[order]
-                new = np.ones(len(tail), dtype=bool)
-                new[1:] = (tail[1:] != tail[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(tail)))
-                sizes = np.bincount(doc[first], minlength=j - i)
-                n_tail = np.bincount(doc, minlength=j - i)
-                n = np.diff(begin)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(n - n_tail), pa.array(known), pa.array(score), list_array(signed(tail[first]), sizes), list_array(times.astype(np.int64), sizes)],
-                    names=["doc_id", "th", "n_tokens", "n_head", "head_log", "score", "tail", "times"],
-                )
+            for held in together(sequences(batch.column(2), head)):
+                scores = forward(*joined(held), model)
+                for i, j, w, h, ids, begin in held:
+                    score, scores = scores[: j - i], scores[j - i :]
+                    yield from one(batch, i, j, w, h, ids, begin, score)
+
+    def one(batch, i, j, w, h, ids, begin, score):
+        mine = ids == head.tail
+        at = np.arange(len(h)) + w.doc
+        tail = h[mine[at]]
+        doc = w.doc[mine[at]]
+        known = np.add.reduceat(np.append(head.logs[ids], 0.0), begin[:-1]) if j > i else np.zeros(0)
+        order = np.lexsort((tail, doc))
+        tail, doc = tail[order], doc[order]
+        new = np.ones(len(tail), dtype=bool)
+        new[1:] = (tail[1:] != tail[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(tail)))
+        sizes = np.bincount(doc[first], minlength=j - i)
+        n_tail = np.bincount(doc, minlength=j - i)
+        n = np.diff(begin)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(n - n_tail), pa.array(known), pa.array(score), list_array(signed(tail[first]), sizes), list_array(times.astype(np.int64), sizes)],
+            names=["doc_id", "th", "n_tokens", "n_head", "head_log", "score", "tail", "times"],
+        )
 
     return run
 
@@ -258,10 +287,12 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int =
     prior /= prior.sum()
     model = Model.first(prior, states)
     share = min(1.0, sample / max(1, n_docs))
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     if n_docs:
+        # written once, as each round would scan the whole table again for it
+        some = work.keep(train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text"), "sample")
         for k in range(warm):
             model = _round(some, head, model, prior)
+        work.drop(some)
         for k in range(rounds):
             model = _round(train, head, model, prior)
 
