@@ -298,9 +298,12 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int =
 
     scored = docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(_scores(head, model), "doc_id long, th int, n_tokens long, n_head long, head_log double, score double, tail array<long>, times array<long>")
     scored = work.keep(scored, "scored")
-    tails = scored.select("doc_id", "th", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("doc_id", "th", F.col("t.tail").alias("w"), F.col("t.times").alias("m")).distinct()
+    tails = scored.select("doc_id", "th", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("doc_id", "th", F.col("t.tail").alias("w"), F.col("t.times").alias("m"))
     found = tails.join(counts, "w").groupBy("doc_id", "th").agg(F.sum("m").alias("n_tail"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    found = found.withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+    # repeated rows have added up; their number is divided out instead of making all tail words distinct
+    copies = scored.groupBy(F.col("doc_id").alias("copy_id"), F.col("th").alias("copy_th")).agg(F.count("*").alias("copies"))
+    found = found.withColumnsRenamed({"doc_id": "found_id", "th": "found_th"}).join(copies, F.col("found_id").eqNullSafe(F.col("copy_id")) & (F.col("found_th") == F.col("copy_th")))
+    found = found.select("found_id", "found_th", (F.col("n_tail") / F.col("copies")).cast("long").alias("n_tail"), (F.col("tail_log") / F.col("copies")).alias("tail_log"))
     both = scored.drop("tail", "times").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
     tail_tokens = F.col("n_tokens") - F.col("n_head")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
