@@ -314,7 +314,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     star = work.keep(_star(rows, sizes, percent, 0.0), "star")
     links = work.keep(_verify(star, texts, words, percent), "star-links")
     tried, linked = star, links
-    crowded = work.keep(rows.where(F.col("cnt") > light).select("tok", "doc"), "crowded")
+    # only documents with so many heavy grams can share enough of them with a pivot
+    crowded = rows.where(F.col("cnt") > light).select("tok", "doc")
+    able = crowded.groupBy("doc").agg(F.count("*").alias("k")).join(sizes.select("doc", "n"), "doc").where(F.col("k") >= SHARE * (100 - percent) / 100.0 * F.col("n")).select("doc")
+    crowded = work.keep(crowded.join(able, "doc", "left_semi"), "crowded")
     for turn in range(1, TURNS + 1):
         comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
         about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about")
