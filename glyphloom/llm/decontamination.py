@@ -1,25 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an exact word bound, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z
 lower-cased.  For each benchmark item:
 
-* a first pass over the documents counts in how many each of its word
-  ``seed``-grams occurs (a task adds up its own; the sums are no more than the
-  benchmark's grams);
-* its *rare* grams, those in at most ``2 * (its median count) + slack``
-  documents, are its seeds.  The bound follows the item: if many documents copy
-  it, all its grams are frequent, and only common phrases among them are left out;
-* a second pass joins documents to items by seeds, and aligns the words around
-  each seed with the whole item: local alignment, ``MATCH`` for equal words,
-  ``MISS`` for others and for gaps.
+* all of its word ``seed``-grams are seeds, frequent or not: in documents that
+  hold the same edited copy, the grams they share are the frequent ones;
+* one pass over the documents finds the stretches around shared seeds, and keeps
+  those with enough of the item's words for the best alignment to reach the
+  limits below: no alignment has more equal words than that;
+* these are aligned with the whole item: local alignment, ``MATCH`` for equal
+  words, ``MISS`` for others and for gaps.
 
 A document and an item match if the best alignment reaches ``least`` of the
 item's full score, and has ``few`` equal words, or all of a shorter item's.
 
 The benchmark is read in slices of at most ``slice_grams`` grams (32 MB), each
-broadcast within that bound and followed by two passes, so it may have any size.
-Both passes are without shuffles of text; documents of a hot passage are aligned
-where they lie.
+broadcast within that bound and followed by a pass, so it may have any size.  The
+pass is without shuffles of text; documents of a hot passage are aligned where
+they lie.
 
 Defined results: null or empty text or item, or one without words: no match.
 Items of fewer than ``seed`` words: their whole word sequence is their seed.
@@ -38,11 +36,12 @@ from pyspark.sql import functions as F
 from glyphloom.llm._kernels import _SPACE, Words, chunks, grams
 
 SEED = 3
-SLACK = 10
 LEAST = 0.5
 FEW = 8
 MATCH, MISS = 2, -1
 SLICE_GRAMS = 1_000_000
+# Places of seeds that are laid out at once.
+TOGETHER = 1 << 20
 
 _NOT_WORD = np.ones(256, dtype=bool)
 _NOT_WORD[48:58] = _NOT_WORD[65:91] = _NOT_WORD[97:123] = _NOT_WORD[128:] = False
@@ -93,22 +92,6 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return hit, at[hit]
 
 
-def _frequencies(items: Items, keys: np.ndarray):
-    def run(batches):
-        total = np.zeros(len(keys), dtype=np.int64)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                h, _, doc = word_hashes(data, offsets)
-                for g, ok in items.document_grams(h, doc):
-                    hit, place = _find(keys, g)
-                    both = np.unique(doc[ok[hit]] * len(keys) + place)
-                    total += np.bincount(both % max(1, len(keys)), minlength=len(keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "c"])
-
-    return run
-
-
 def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int]:
     """(score, equal words, start, end in y) of the best local alignment of the whole of x's words with a stretch of y."""
     n = len(y)
@@ -141,6 +124,35 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
+def _spans(items: Items, keys: np.ndarray, entry: np.ndarray, first: np.ndarray, h: np.ndarray, start: np.ndarray, doc: np.ndarray):
+    """(text, item, first word, end word) of the merged stretches around seeds, by text and item."""
+    found = [(ok[hit], place) for g, ok in items.document_grams(h, doc) for hit, place in [_find(keys, g)]]
+    word, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([f[0] for f in found], [f[1] for f in found]))
+    order = np.argsort(word, kind="stable")
+    word, place = word[order], place[order]
+    times = first[place + 1] - first[place]
+    ends = np.append(np.flatnonzero(doc[word[1:]] != doc[word[:-1]]) + 1, len(word)) if len(word) else np.zeros(0, np.int64)
+    size = np.array([len(x) for x in items.words], dtype=np.int64)
+    done = 0
+    for k, stop in enumerate(ends.tolist()):
+        # whole texts, about TOGETHER places at a time
+        if k + 1 < len(ends) and times[done : ends[k + 1]].sum() <= TOGETHER:
+            continue
+        n = times[done:stop]
+        at = np.repeat(first[place[done:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        e, w = entry[at], np.repeat(word[done:stop], n)
+        done = stop
+        d, it, m = doc[w], items.item[e], size[items.item[e]]
+        lo = np.maximum(w - items.at[e] - m // 2 - 1, start[d])
+        hi = np.minimum(w - items.at[e] + m + m // 2 + 1, start[d + 1])
+        order = np.lexsort((hi, lo, it, d))
+        d, it, lo, hi = d[order], it[order], lo[order], hi[order]
+        new = np.ones(len(d), dtype=bool)
+        new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (lo[1:] > hi[:-1])
+        a = np.flatnonzero(new)
+        yield from zip(d[a].tolist(), it[a].tolist(), lo[a].tolist(), hi[np.append(a[1:], len(d)) - 1].tolist(), strict=True)
+
+
 def _matches(items: Items, keys: np.ndarray, entry: np.ndarray, first: np.ndarray, least: float, few: int):
     """keys: sorted seeds; entry[first[k] : first[k+1]] are the places in items' grams of seed k."""
 
@@ -149,23 +161,16 @@ def _matches(items: Items, keys: np.ndarray, entry: np.ndarray, first: np.ndarra
             rows, item, score, same, begin, end = [], [], [], [], [], []
             for i, _, data, offsets in chunks(batch.column(1)):
                 h, start, doc = word_hashes(data, offsets)
-                found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for g, ok in items.document_grams(h, doc):
-                    hit, place = _find(keys, g)
-                    for w, k in zip(ok[hit].tolist(), place.tolist(), strict=True):
-                        for e in entry[first[k] : first[k + 1]].tolist():
-                            found.setdefault((int(doc[w]), int(items.item[e])), []).append((w, int(items.at[e])))
-                for (d, it), hits in found.items():
+                found: dict[tuple[int, int], tuple[int, ...]] = {}
+                for d, it, lo, hi in _spans(items, keys, entry, first, h, start, doc):
                     x = items.words[it]
                     m = len(x)
-                    spans: list[list[int]] = []
-                    for lo, hi in sorted((w - at - m // 2 - 1, w - at + m + m // 2 + 1) for w, at in hits):
-                        lo, hi = max(lo, int(start[d])), min(hi, int(start[d + 1]))
-                        if spans and lo <= spans[-1][1]:
-                            spans[-1][1] = max(hi, spans[-1][1])
-                        else:
-                            spans.append([lo, hi])
-                    best = max((*align(x, h[lo:hi]), lo) for lo, hi in spans)
+                    # equal words are at most the item's words that occur in the stretch
+                    most = int(np.isin(x, h[lo:hi]).sum())
+                    if MATCH * most >= least * MATCH * m and most >= min(few, m):
+                        found[d, it] = max((*align(x, h[lo:hi]), lo), found.get((d, it), (0,)))
+                for (d, it), best in found.items():
+                    m = len(items.words[it])
                     if best[0] >= least * MATCH * m and best[1] >= min(few, m):
                         rows.append(i + d)
                         item.append(items.ids[it])
@@ -198,26 +203,15 @@ def _slices(benchmark: DataFrame, seed: int, slice_grams: int):
         yield Items(ids, texts, seed)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, slack: int = SLACK, least: float = LEAST, few: int = FEW, slice_grams: int = SLICE_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = LEAST, few: int = FEW, slice_grams: int = SLICE_GRAMS) -> DataFrame:
     """doc_id, item_id, score, n_equal, word_start, word_stop of every matching document (doc_id, text) and item (item_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _slices(benchmark, seed, slice_grams):
-        keys = np.unique(items.gram)
-        got = docs.select("text").mapInArrow(_frequencies(items, keys), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-        count = np.zeros(len(keys), dtype=np.int64)
-        count[got.k.to_numpy()] = got.c.to_numpy()
-        per = count[np.searchsorted(keys, items.gram)]
-        seeds = np.zeros(len(items.gram), dtype=bool)
-        for k in range(len(items.ids)):
-            own = np.flatnonzero(items.item == k) if len(items.ids) < 64 else np.arange(*np.searchsorted(items.item, [k, k + 1]))
-            if len(own):
-                seeds[own] = per[own] <= 2 * np.median(per[own]) + slack
-        entry = np.flatnonzero(seeds)
-        entry = entry[np.argsort(items.gram[entry], kind="stable")]
-        chosen, first = np.unique(items.gram[entry], return_index=True)
-        found = docs.mapInArrow(_matches(items, chosen, entry, np.append(first, len(entry)), least, few), _SCHEMA)
+        entry = np.argsort(items.gram, kind="stable")
+        keys, first = np.unique(items.gram[entry], return_index=True)
+        found = docs.mapInArrow(_matches(items, keys, entry, np.append(first, len(entry)), least, few), _SCHEMA)
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], _SCHEMA)

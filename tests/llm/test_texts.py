@@ -304,6 +304,16 @@ def test_decontamination(spark, docs):
     assert dec.contaminated(docs, bench).count() == 0
 
 
+def test_decontamination_of_one_edited_copy_in_many_documents(spark):
+    item = [f"q{k}" for k in range(37)]
+    copy = " ".join("edited" if k % 5 == 4 else w for k, w in enumerate(item))
+    rows = [(i, f"before{i} this{i} {copy} after{i} that{i}") for i in range(40)] + [(99, "q0 q1 q2 alone")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = dec.contaminated(df, bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+    assert {(r.item_id, r.n_equal, r.word_start, r.word_stop) for r in got} == {(1, 30, 2, 39)}
+
+
 def _flat(t):
     raw = np.frombuffer((t or "").encode(), np.uint8)
     return raw, np.array([0, len(raw)])
