@@ -3,11 +3,17 @@
 Tokens of a page are its tags with their path of element names and classes, and
 its text blocks.  The occurrence vector of a token counts it on every different
 page of its host.  Tokens with equal vectors form an equivalence class (ExAlg;
-Arasu & Garcia-Molina, SIGMOD 2003).  A class is valid if it occurs on
-``support`` of the host's different pages, of which there must be ``pages`` or
-more.  The valid classes, nested by their paths, are the host's template; text
-blocks that belong to it (menus, notices, imprints that repeat) go, and what
-lies in its remaining slots is read.
+Arasu & Garcia-Molina, SIGMOD 2003).  Classes nest by paths: the room of a token
+is the pages that have the element around it (all of the host's for outermost
+ones), and a token is valid if it occurs on ``support`` of its room, which must
+be ``pages`` or more; so a notice in an element that only some pages have is
+measured within them.  The valid tokens by class are the host's template; text
+blocks that belong to it (menus, notices, imprints that repeat) go, and what lies
+in its remaining slots is read.
+
+Near copies of a page repeat its text without being a template, so they share one
+vote: pages meet by ``BANDS`` bands of ``ROWS`` min-hashes of the 3-word shingles
+of their content, and a page in a group of n counts 1/n, by its largest group.
 
 Vectors are not built: equal vectors have equal sums of count * hash(page), which
 aggregate map-side, so a host with a third of all pages is no more than one row
@@ -16,8 +22,7 @@ for each of its tokens and tasks.
 Slots are content or not by the template's element names: those that HTML itself
 reserves for navigation, page headers and footers, asides and forms, and those
 whose class, id or role says so (a fixed list of words).  If a page has article
-or main elements, its text is theirs, and there a block goes only for its
-element's sake, not because near copies of the page repeat it.
+or main elements, its text is theirs, less the template's blocks in them.
 
 A text block ends at any tag that is not inline.  Character references are
 decoded, white space in a block becomes one space, blocks are joined in page
@@ -40,10 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed
 from glyphloom.llm._stage import Workspace
 
 SUPPORT = 0.9
 PAGES = 5
+BANDS, ROWS = 8, 4
+_MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>)""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -163,40 +171,75 @@ def _key(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(path) & 0xFFFFFFFF)
 
 
-def page_tokens(page: str) -> dict[int, int]:
-    """The occurrences of each token, by its hash."""
-    blocks, tags = parse(page)
-    out: Counter = Counter()
+def page_tokens(blocks: list[Block], tags: Counter) -> dict[int, tuple[int, int, bool]]:
+    """(occurrences, hash of the element around, whether a text block) of each token, by its hash."""
+    out: dict[int, tuple[int, int, bool]] = {}
     for b in blocks:
-        out[_key("/".join(b.path), b.text)] += 1
+        path = "/".join(b.path)
+        key = _key(path, b.text)
+        out[key] = (out[key][0] + 1 if key in out else 1, _key(path, "") if path else 0, True)
     for path, n in tags.items():
-        out[_key(path, "")] += n
+        # labels hold no slash unless a class does: the path around is the longest that is itself a tag
+        around = path.rpartition("/")[0]
+        while around and around not in tags:
+            around = around.rpartition("/")[0]
+        out[_key(path, "")] = (n, _key(around, "") if around else 0, False)
     return out
 
 
+def _content(blocks: list[Block]) -> list[Block]:
+    """The blocks of the slots that are content."""
+    read = [b for b in blocks if not b.out]
+    return [b for b in read if b.content] or read
+
+
+def bands(texts: list[str]) -> pa.Array:
+    """The keys of the bands of min-hashes of each text; none for a text without words."""
+    values, sizes = [], []
+    for i, j, data, offsets in chunks(pa.array(texts, pa.large_string())):
+        w = Words(data, offsets)
+        h = w.hashes()
+        g = grams(h, 3)
+        n = np.diff(w.first)
+        # texts of one or two words are their words
+        g = np.append(g, h[len(g) :])
+        start = w.first[:-1]
+        within = np.arange(len(h)) - np.repeat(start, n) <= np.maximum(np.repeat(n, n) - 3, 0)
+        short = np.repeat(n < 3, n)
+        g = np.where(short, h, g)[within | short]
+        some = np.flatnonzero(n)
+        first = np.concatenate([[0], np.cumsum(np.where(n < 3, n, n - 2))])[some]
+        keys = np.zeros((len(some), BANDS), dtype=np.uint64)
+        for k, by in enumerate(_MULTIPLIERS if len(some) else ()):
+            low = np.minimum.reduceat(g * by, first)
+            keys[:, k // ROWS] = mix(keys[:, k // ROWS] + low + np.uint64(k // ROWS))
+        values.append(keys.ravel())
+        sizes.append(np.where(n > 0, BANDS, 0))
+    return list_array(signed(np.concatenate(values)), np.concatenate(sizes)) if values else pa.array([[] for _ in texts], pa.list_(pa.int64()))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _tokens(batches):
     for batch in batches:
-        keys, counts, hashes = [], [], []
+        hashes, texts, columns = [], [], ([], [], [], [])
         for page in batch.column(1).to_pylist():
-            t = page_tokens(page or "")
-            keys.append([_signed(k) for k in t])
-            counts.append(list(t.values()))
+            blocks, tags = parse(page or "")
+            t = page_tokens(blocks, tags)
+            texts.append(" ".join(b.text for b in _content(blocks)))
             hashes.append(_signed(xxhash.xxh64_intdigest(page or "")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["host", "page", "keys", "counts"])
+            for column, x in zip(columns, ([_signed(k) for k in t], [v[0] for v in t.values()], [_signed(v[1]) for v in t.values()], [v[2] for v in t.values()]), strict=True):
+                column.append(x)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), bands(texts), *[pa.array(c, pa.list_(t)) for c, t in zip(columns, types, strict=True)]], names=["host", "page", "bands", "keys", "counts", "around", "block"])
 
 
 def main_text(page: str, template: np.ndarray) -> str:
     """The text of the slots that are content, less the template's own blocks (sorted hashes)."""
-    blocks = [b for b in parse(page)[0] if not b.out]
-    inside = [b for b in blocks if b.content]
-    if inside:
-        return " ".join(b.text for b in inside)
     known = set(template.tolist())
-    return " ".join(b.text for b in blocks if _signed(_key("/".join(b.path), b.text)) not in known)
+    return " ".join(b.text for b in _content(parse(page)[0]) if _signed(_key("/".join(b.path), b.text)) not in known)
 
 
 def _extract(batches):
@@ -215,22 +258,33 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAGES) -> DataFrame:
-    """host, class (of equal occurrence vectors), tokens (array of hashes) of the valid classes."""
+    """host, class (of equal occurrence vectors), tokens, blocks (arrays of hashes; blocks are those of text) of the valid tokens."""
     work = Workspace(pages.sparkSession, "templates")
-    seen = _hosted(pages).where("host is not null").select("host", "html").mapInArrow(_tokens, "host string, page long, keys array<long>, counts array<int>")
-    different = work.keep(seen.where(F.size("keys") > 0).groupBy("host", "page").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts")), "pages")
-    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
-    each = different.select("host", "page", F.explode(F.arrays_zip("keys", "counts")).alias("t")).select("host", "page", F.col("t.keys").alias("token"), F.col("t.counts").alias("n"))
+    seen = _hosted(pages).where("host is not null").select("host", "html").mapInArrow(_tokens, "host string, page long, bands array<long>, keys array<long>, counts array<int>, around array<long>, block array<boolean>")
+    columns = ["bands", "keys", "counts", "around", "block"]
+    different = work.keep(seen.where(F.size("keys") > 0).groupBy("host", "page").agg(*[F.first(c).alias(c) for c in columns]), "pages")
+    # a page's vote: one for each group of near copies
+    band = different.select("host", "page", F.explode("bands").alias("band"))
+    groups = band.groupBy("host", "band").agg(F.count("*").alias("size")).where("size > 1")
+    votes = work.keep(band.join(groups.hint("shuffle_merge"), ["host", "band"]).groupBy("host", "page").agg((1 / F.max("size")).alias("vote")), "votes")
+    voted = different.drop("bands").join(votes.hint("shuffle_merge"), ["host", "page"], "left").withColumn("vote", F.coalesce("vote", F.lit(1.0)))
+    each = voted.select("host", "page", "vote", F.explode(F.arrays_zip("keys", "counts", "around", "block")).alias("t"))
+    each = each.select("host", "page", "vote", F.col("t.keys").alias("token"), F.col("t.counts").alias("n"), F.col("t.around").alias("around"), F.col("t.block").alias("block"))
+    # votes are added in any order: rounded, so that thresholds do not depend on it
+    on = F.round(F.sum("vote"), 6).alias("on")
     # two sums of count * hash(page): equal vectors, equal sums (in decimals: no overflow)
     vector = [F.sum(F.col("n") * F.xxhash64(F.lit(s), "page").cast("decimal(20,0)")).alias(f"v{s}") for s in (1, 2)]
-    tokens = each.groupBy("host", "token").agg(F.count("*").alias("on"), *vector)
-    valid = tokens.join(sizes, "host").where((F.col("pages") >= least_pages) & (F.col("on") >= support * F.col("pages")))
-    return valid.groupBy("host", F.xxhash64("v1", "v2").alias("class")).agg(F.collect_list("token").alias("tokens"))
+    tokens = each.groupBy("host", "token").agg(F.min("around").alias("around"), F.max("block").alias("block"), on, *vector)
+    tokens = work.keep(tokens.where(F.col("on") >= support * least_pages), "tokens")
+    whole = different.select("host", "page").join(votes.hint("shuffle_merge"), ["host", "page"], "left").groupBy("host").agg(F.round(F.sum(F.coalesce("vote", F.lit(1.0))), 6).alias("room"))
+    rooms = tokens.where("not block").select("host", F.col("token").alias("around"), F.col("on").alias("room")).union(whole.select("host", F.lit(0).cast("long").alias("around"), "room"))
+    valid = tokens.join(rooms.where(F.col("room") >= least_pages).hint("shuffle_merge"), ["host", "around"]).where(F.col("on") >= F.round(support * F.col("room"), 6))
+    return valid.groupBy("host", F.xxhash64("v1", "v2").alias("class")).agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("block"), F.col("token"))).alias("blocks"))
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
     work = Workspace(pages.sparkSession, "extraction")
-    # a template has no more tokens than 1/support pages of its host
-    template = work.keep(templates(pages, support, least_pages).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    # the blocks of a template take up support * least_pages votes each
+    template = work.keep(templates(pages, support, least_pages).where(F.size("blocks") > 0).groupBy("host").agg(F.flatten(F.collect_list("blocks")).alias("template")), "templates")
     return _hosted(pages).join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

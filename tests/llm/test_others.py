@@ -96,6 +96,23 @@ def test_main_text():
     assert htm.main_text("<script>never closed", none) == "" and htm.main_text("<div class='sidebar'>x</div><div>y</div>", none) == "y"
 
 
+def test_html_templates_inside_articles(spark):
+    """Blocks of the template go inside article too, also in elements that few pages have; near copies of a page are no template."""
+    rng = np.random.default_rng(5)
+    story = lambda: " ".join(f"w{rng.integers(0, 5000)}" for _ in range(60))
+    wrap = lambda x: f"<html><body><article>{x}</article></body></html>"
+    stories = [story() for _ in range(20)]
+    rows = [(k, "http://a.example/x", wrap(f"<p>Subscribers read more</p><p>{x}</p>" + ("<div class='x'>Also on paper</div>" if k % 3 == 0 else ""))) for k, x in enumerate(stories)]
+    copied = story()
+    near = [f"<p>{copied} number {k}</p><p>A last line of the copied story</p>" for k in range(40)]
+    rows += [(100 + k, "http://b.example/x", wrap(x)) for k, x in enumerate(near)]
+    rows += [(200 + k, "http://c.example/x", wrap(f"<p>Subscribers read more</p>{x}")) for k, x in enumerate(near)]
+    rows += [(300 + k, "http://c.example/y", wrap(f"<p>Subscribers read more</p><p>{x}</p>")) for k, x in enumerate(stories)]
+    got = {r.page_id: r.text for r in htm.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == got[300 + k] == x for k, x in enumerate(stories))
+    assert all(got[100 + k] == got[200 + k] == f"{copied} number {k} A last line of the copied story" for k in range(40))
+
+
 def test_html_templates(spark):
     """Without article elements, blocks that a host's pages share are template; what varies is text."""
     page = lambda k: f"<html><body><div>Welcome to our site</div><div>story {k} about {k * 7}</div><p>All rights kept</p></body></html>"
