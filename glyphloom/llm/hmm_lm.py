@@ -10,9 +10,8 @@ counts, whatever the state:
 so the model is a proper distribution over token strings, with one share for all
 words never seen.  Baum-Welch's expected counts are taken over every training
 document: a partition adds up its own, the sums of all partitions re-estimate
-the model.  ``warm`` rounds on a bounded sample of training documents (about
-``sample`` of them, picked by hash) break the symmetry first; ``rounds`` rounds
-over all follow.
+the model.  All ``warm + rounds`` rounds read all training documents, whose head
+ids are written once.
 
 The head (at most ``head`` words) and the emission table (head * states floats,
 2 MB) are bounded by parameters and broadcast.  The counts of all other words
@@ -45,7 +44,6 @@ HEAD = 32768
 STATES = 8
 ROUNDS = 2
 WARM = 12
-SAMPLE = 3000
 BUFFER = 1 << 21
 # Tokens that go through the recursions together: texts of like length share their steps.
 TOGETHER = 1 << 20
@@ -207,6 +205,28 @@ def expected(ids: np.ndarray, begin: np.ndarray, model: Model, sums: tuple[np.nd
             emit[:, s] += np.bincount(order, weights=gammas[:, s], minlength=len(emit))
 
 
+def _encode(head: Head):
+    """The head ids of each text, with its end token."""
+
+    def run(batches):
+        for batch in batches:
+            for *_, ids, begin in sequences(batch.column(0), head):
+                yield pa.RecordBatch.from_arrays([list_array(ids, np.diff(begin))], names=["ids"])
+
+    return run
+
+
+def encoded(column: pa.Array, most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, begin) of the texts of a column from ``_encode``, about ``most`` tokens at a time."""
+    offsets = column.offsets.to_numpy()
+    ids = column.values.to_numpy()
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield ids[offsets[i] : offsets[j]], offsets[i : j + 1].astype(np.int64) - offsets[i]
+        i = j
+
+
 def _baum_welch(head: Head, model: Model):
     """One row for each head word with its expected count by state; word -1 has start, -2-s the steps from s."""
     k = len(model.start)
@@ -214,8 +234,8 @@ def _baum_welch(head: Head, model: Model):
     def run(batches):
         sums = (np.zeros(k), np.zeros((k, k)), np.zeros((head.size, k)))
         for batch in batches:
-            for held in together(sequences(batch.column(0), head)):
-                expected(*joined(held), model, sums)
+            for ids, begin in encoded(batch.column(0)):
+                expected(ids, begin, model, sums)
         start, step, emit = sums
         used = np.flatnonzero(emit.any(axis=1))
         word = np.concatenate([used, [-1], -2 - np.arange(k)]).astype(np.int32)
@@ -228,7 +248,7 @@ def _baum_welch(head: Head, model: Model):
 def _round(docs: DataFrame, head: Head, model: Model, prior: np.ndarray) -> Model:
     k = len(model.start)
     schema = "word int, " + ", ".join(f"s{s} double" for s in range(k))
-    got: pd.DataFrame = docs.select("text").mapInArrow(_baum_welch(head, model), schema).groupBy("word").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
+    got: pd.DataFrame = docs.mapInArrow(_baum_welch(head, model), schema).groupBy("word").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
     table = np.zeros((head.size + 1 + k, k))
     word = got.word.to_numpy()
     table[np.where(word >= 0, word, head.size - 1 - word)] = got[[f"s{s}" for s in range(k)]].to_numpy()
@@ -269,7 +289,7 @@ def _scores(head: Head, model: Model):
     return run
 
 
-def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int = HEAD, states: int = STATES, rounds: int = ROUNDS, warm: int = WARM, sample: int = SAMPLE) -> DataFrame:
+def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int = HEAD, states: int = STATES, rounds: int = ROUNDS, warm: int = WARM) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     work = Workspace(docs.sparkSession, "hmm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -286,15 +306,12 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int =
     prior = np.concatenate([head.counts, [n_docs, tail_words]]) + 1.0
     prior /= prior.sum()
     model = Model.first(prior, states)
-    share = min(1.0, sample / max(1, n_docs))
     if n_docs:
-        # written once, as each round would scan the whole table again for it
-        some = work.keep(train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text"), "sample")
-        for k in range(warm):
-            model = _round(some, head, model, prior)
-        work.drop(some)
-        for k in range(rounds):
-            model = _round(train, head, model, prior)
+        # written once, as each round would split and hash the words of the whole table again
+        texts = work.keep(train.select("text").mapInArrow(_encode(head), "ids array<int>"), "ids")
+        for _ in range(warm + rounds):
+            model = _round(texts, head, model, prior)
+        work.drop(texts)
 
     scored = docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(_scores(head, model), "doc_id long, th int, n_tokens long, n_head long, head_log double, score double, tail array<long>, times array<long>")
     scored = work.keep(scored, "scored")

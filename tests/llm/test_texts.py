@@ -145,6 +145,14 @@ def test_hmm_scores(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_hmm_rounds_read_all_training_documents(spark, monkeypatch):
+    rows = [(i, f"w{i % 50} w{i % 7} rare{i % 3}") for i in range(5000)]
+    read, one = [], hmm_lm._round
+    monkeypatch.setattr(hmm_lm, "_round", lambda docs, *rest: read.append(docs.count()) or one(docs, *rest))
+    got = hmm_lm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), head_size=20, warm=2, rounds=1).collect()
+    assert read == 3 * [sum(not r.held_out for r in got)] and read[0] > 3000
+
+
 def test_hmm_forward_is_exact():
     """The scaled recursion over many texts equals the sum over all state paths."""
     rng = np.random.default_rng(0)
