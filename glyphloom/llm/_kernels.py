@@ -3,7 +3,9 @@
 Everything works on whole Arrow batches: the UTF-8 buffer of a string column is
 viewed as one ``uint8`` array, so no text is decoded and no Python object is
 made for a word.  Chunks bound the temporary arrays (about 100 bytes for each
-byte of text in the chunk) whatever the batch holds.
+byte of text in the chunk) whatever the batch holds; a single text is never cut,
+so a text of 100 MB needs some 10 GB for a moment, and one worker's memory must
+be chosen by the longest text.
 """
 
 from __future__ import annotations
@@ -12,17 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+# Words up to so many bytes are hashed together, by blocks of eight bytes; longer ones each by xxh3.
+LONG = 64
+_BLOCK_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+# Keys of the two word hashes: a seed, and one for each block of a word.
+_KEYS = np.random.default_rng(20260101).integers(0, 1 << 64, (2, 1 + LONG // 8), dtype=np.uint64)
+# Odd multipliers, one for each place in an n-gram.
+_PLACES = np.random.default_rng(20260102).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,20 +42,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up = np.full(size, base, dtype=np.uint64)
-        up[0] = 1
-        down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
-        down[0] = 1
-        with np.errstate(over="ignore"):
-            have = (np.cumprod(up), np.cumprod(down))
-        _powers[base] = have
-    return have
-
-
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a run of texts.
 
@@ -80,14 +74,36 @@ class Words:
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; ``which`` picks one of two independent ones."""
-        base = _BASES[which]
-        up, down = _power_tables(base, len(self.data) + 1)
+        """A 64-bit hash of each word's bytes; ``which`` picks one of two independent ones.
+
+        Each block of eight bytes is keyed by its place and mixed into what came
+        before, so no pattern of letters cancels out as it does in a polynomial
+        modulo a power of two.
+        """
+        key = _KEYS[which]
+        size = self.end - self.start
         with np.errstate(over="ignore"):
-            total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-            h = (total[self.end] - total[self.start]) * down[self.start]
-            return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            out = mix(size.astype(np.uint64) + key[0])
+            if not len(size):
+                return out
+            padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+            padded[: len(self.data)] = self.data
+            blocks = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+            at = None
+            for k in range(LONG // 8):
+                start, left = (self.start, size) if at is None else (self.start[at] + 8 * k, size[at] - 8 * k)
+                x = blocks[start] & _BLOCK_MASKS[np.minimum(left, 8)]
+                if at is None:
+                    out = mix((out ^ mix(x + key[1])) * np.uint64(0x9FB21C651E98DF25))
+                    at = np.flatnonzero((size > 8) & (size <= LONG))
+                else:
+                    out[at] = mix((out[at] ^ mix(x + key[1 + k])) * np.uint64(0x9FB21C651E98DF25))
+                    at = at[left > 8]
+                if not len(at):
+                    break
+            for i in np.flatnonzero(size > LONG).tolist():
+                out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), int(key[0]))
+        return out
 
     def strings(self, index: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
@@ -100,10 +116,9 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        out = h[:count].copy()
+        out = h[:count] * _PLACES[0]
         for i in range(1, n):
-            out *= np.uint64(0x9FB21C651E98DF25)
-            out += h[i : i + count]
+            out += h[i : i + count] * _PLACES[i]
         return mix(out)
 
 

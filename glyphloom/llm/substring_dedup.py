@@ -20,8 +20,9 @@ in doc_id order.  For each batch:
    compacted into the next when there are ``fan`` of them.
 
 A group of copies is one row for each member at every step; nothing is emitted
-in pairs.  Equality is that of 128-bit digests: at 10^13 different windows the
-chance of one false match is below 10^-12.
+in pairs.  Equality is that of 128-bit digests, two keyed 64-bit hashes of words
+mixed by place: for texts not made to meet under those keys, the chance of one
+false match among 10^13 different windows is below 10^-12.
 
 Defined results: null or empty text, and text without words: 0 words, nothing
 removed, the hash of the empty string.  Null doc_id: neither a copy nor a

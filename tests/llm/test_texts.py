@@ -53,6 +53,36 @@ def test_substring_dedup(docs, batches):
     assert got == want
 
 
+def _thue_morse(size):
+    """A word and its complement whose polynomials differ by a multiple of a high power of two."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 64, 2048])
+def test_words_that_polynomials_confuse(spark, size):
+    """Different words stay different in every operator on words (op1, op2, op6, op8, op10)."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two = _thue_morse(size)
+    around = [f"x{k}" for k in range(6)]
+    texts = [" ".join([*around, w, *around, w]) for w in (one, two)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.substring_dedup(df).collect()] == [0, 0]
+    assert {r.component_id for r in ngram_jaccard.jaccard_join(df).collect()} == {0, 1}
+    got = {r.doc_id: r.n_known for r in hmm_lm.hmm_scores(spark.createDataFrame([(0, one), (1, one), (3, two), (10, two)], "doc_id long, text string").where("doc_id < 2"), warm=1, rounds=0).collect()}
+    assert got == {0: 2, 1: 2}
+    bench = spark.createDataFrame([(0, " ".join([one] * 9))], "item_id long, text string")
+    assert [r.doc_id for r in dec.contaminated(spark.createDataFrame([(0, " ".join([one] * 9)), (1, " ".join([two] * 9))], "doc_id long, text string"), bench).collect()] == [0]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    ids, begin = packing.encoder(path).encode(*__import__("glyphloom.llm._kernels", fromlist=["as_text"]).as_text(pa.array(texts)))
+    assert [ids[begin[k] : begin[k + 1]].tolist() for k in (0, 1)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_substring_index_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark, fan=2)
     try:
