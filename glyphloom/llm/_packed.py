@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm._kernels import tidy
+
 FLUSH = 1 << 20
 SCHEMA = "part int, kind int, seq long, keys binary, docs binary"
 
@@ -130,4 +132,4 @@ def shared_rows(packed: DataFrame, parts: int, least: int = 2) -> DataFrame:
     least first document.
     """
     dealt = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "seq", F.xxhash64("keys"))
-    return dealt.mapInArrow(_shared(least), "tok long, doc long, cnt long, pivot long")
+    return dealt.mapInArrow(tidy(_shared(least)), "tok long, doc long, cnt long, pivot long")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import _SPACE, Words, chunks, grams
+from glyphloom.llm._kernels import _SPACE, Words, chunks, grams, tidy
 
 SEED = 3
 LEAST = 0.5
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least:
     for items in _slices(benchmark, seed, slice_grams):
         entry = np.argsort(items.gram, kind="stable")
         keys, first = np.unique(items.gram[entry], return_index=True)
-        found = docs.mapInArrow(_matches(items, keys, entry, np.append(first, len(entry)), least, few), _SCHEMA)
+        found = docs.mapInArrow(tidy(_matches(items, keys, entry, np.append(first, len(entry)), least, few)), _SCHEMA)
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], _SCHEMA)

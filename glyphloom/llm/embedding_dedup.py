@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import list_array
+from glyphloom.llm._kernels import list_array, tidy
 from glyphloom.llm._stage import Workspace, components
 
 LEAST = 0.95
@@ -194,10 +194,10 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, recall: float = RE
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     work = Workspace(spark, "embeddings")
-    base = work.keep(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_clean, "vec_id long, vec binary"), "vectors")
+    base = work.keep(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(tidy(_clean), "vec_id long, vec binary"), "vectors")
     classes = work.keep(base.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")), "classes")
     bits, count = bands(classes.count(), least, recall)
-    rows = work.keep(classes.select("cid", "m", "vec").mapInArrow(_keys(bits, count), "cid long, m long, vec binary, dim int, keys array<int>"), "keys")
+    rows = work.keep(classes.select("cid", "m", "vec").mapInArrow(tidy(_keys(bits, count)), "cid long, m long, vec binary, dim int, keys array<int>"), "keys")
 
     met = rows.select("dim", F.posexplode("keys").alias("band", "key")).groupBy("band", "key", "dim").agg(F.count("*").alias("c")).where("c > 1")
     met = work.keep(met.withColumn("blocks", F.when(F.col("c") > block, F.ceil(F.col("c") / (block / 2))).cast("int")), "buckets")
@@ -209,7 +209,7 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, recall: float = RE
     each = each.withColumn("own", F.coalesce(own, F.lit(-1))).withColumn("p", F.explode(pair)).select("band", "key", "dim", "p.bi", "p.bj", "own", "cid", "m", "vec", "keys")
     place = ["band", "key", "dim", "bi", "bj"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = each.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(_meet(least, sigmas), "kind int, a long, b long, w long")
+    found = each.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(tidy(_meet(least, sigmas)), "kind int, a long, b long, w long")
     found = work.keep(found, "links")
 
     degree = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("w"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed
+from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed, tidy
 from glyphloom.llm._packed import SCHEMA as PACKED
 from glyphloom.llm._packed import packing, shared_rows
 from glyphloom.llm._stage import Workspace, components
@@ -144,7 +144,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
     both = pairs.select("x", "y").join(one.hint("shuffle_merge"), "x").join(two.hint("shuffle_merge"), "y").select("x", "y", "tx", "ty")
-    return both.mapInArrow(_verifier(words, percent), "x long, y long")
+    return both.mapInArrow(tidy(_verifier(words, percent)), "x long, y long")
 
 
 def _extend(words: int, percent: int):
@@ -285,7 +285,7 @@ def _families(hard: DataFrame, texts: DataFrame, parts: int, words: int, percent
     placed = family.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
     rows = texts.join(placed, "doc_id").withColumn("p", F.explode(pair)).select("family", "p.bi", "p.bj", "doc_id", "own", "text")
-    return rows.repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj").mapInArrow(_block_links(words, percent), "x long, y long")
+    return rows.repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj").mapInArrow(tidy(_block_links(words, percent)), "x long, y long")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
@@ -295,13 +295,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = work.keep(docs.mapInArrow(_profiles(words, percent), "doc_id long, n long, c1 long, c2 long, prefix array<long>"), "profiles")
+    base = work.keep(docs.mapInArrow(tidy(_profiles(words, percent)), "doc_id long, n long, c1 long, c2 long, prefix array<long>"), "profiles")
     classes = work.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     copies = base.select("doc_id", "n", "c1", "c2").join(classes.where("members > 1"), ["n", "c1", "c2"]).where("doc_id > rep").select("doc_id")
     reps = base.where("n > 0 and doc_id is not null").join(copies.hint("shuffle_merge"), "doc_id", "left_anti")
 
     # Shared grams, each with its count and a pivot document.
-    packed = reps.select("doc_id", "prefix").mapInArrow(packing(parts, _prefix_pairs), PACKED)
+    packed = reps.select("doc_id", "prefix").mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
     rows = work.keep(shared_rows(packed, parts), "shared")
     sizes = work.keep(reps.select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last")).dropDuplicates(["doc"]).join(rows.select("doc").distinct(), "doc", "left_semi"), "sizes")
 
@@ -354,16 +354,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy")
     grams_ = hard = None
     while wanted.limit(1).count():
-        ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(_extend(words, percent), "doc_id long, grams array<long>")
+        ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(tidy(_extend(words, percent)), "doc_id long, grams array<long>")
         grams_ = work.keep(ext if grams_ is None else grams_.join(wanted, "doc_id", "left_anti").union(ext), "extended")
-        packed = grams_.mapInArrow(packing(parts, _prefix_pairs), PACKED)
+        packed = grams_.mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
         rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "extended-rows")
         split = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
         extended = work.keep(rows.join(split, "tok", "left_semi"), "extended-mixed")
         work.drop(rows)
         skip = extended.where(F.col("cnt") > REACH * light).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("tok").alias("skip"))
         sized = grams_.join(about.select(F.col("doc").alias("doc_id"), "n"), "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip")
-        meta = work.keep(sized.mapInArrow(_resolve(percent), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
+        meta = work.keep(sized.mapInArrow(tidy(_resolve(percent)), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
         wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open")
         if wanted.limit(1).count():
             work.drop(extended)
