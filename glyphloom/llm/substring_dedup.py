@@ -8,7 +8,8 @@ Method.  A window's fingerprint is the least hash of its word ``seed``-grams
 (winnowing), so equal windows have equal fingerprints, and a stretch of windows
 with one fingerprint is a *segment*.  The index holds (fingerprint, doc_id) in
 immutable runs, each a table bucketed and sorted by fingerprint.  Batches come
-in doc_id order.  For each batch:
+in doc_id order, ``batches`` in one call; a named index stays, and later calls
+open it by its name and go on behind the documents that it knows.  For each batch:
 
 1. its fingerprints, aggregated and sorted by the runs' partitioning, are
    merge-joined with every run, without a shuffle of the runs; fingerprints
@@ -26,13 +27,15 @@ false match among 10^13 different windows is below 10^-12.
 
 Defined results: null or empty text, and text without words: 0 words, nothing
 removed, the hash of the empty string.  Null doc_id: neither a copy nor a
-source.  Rows that repeat a doc_id are not copies of each other.  Other columns
-are ignored.
+source.  Rows that repeat a doc_id are not copies of each other (ties: no row of
+the least doc_id loses anything).  Very long texts are taken whole.  An empty
+table gives an empty table.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -40,12 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import Words, as_text, chunks, grams, mix, signed
+from glyphloom.llm._kernels import Words, as_text, chunks, grams, mix, signed, tidy
 from glyphloom.llm._stage import Workspace
 
 WINDOW = 13
 SEED = 6
-BATCHES = 2
+# Four runs are added before the last batch, so the query compacts to the second level.
+BATCHES = 5
 FAN = 2
 
 
@@ -198,15 +202,24 @@ def _digest_rows(window: int, cut: bool):
 
 
 class FingerprintIndex:
-    """Immutable runs of (fp, doc_id), bucketed and sorted by fp; a run of level k+1 is compacted from ``fan`` of level k."""
+    """Immutable runs of (fp, doc_id), bucketed and sorted by fp; a run of level k+1 is compacted from ``fan`` of level k.
 
-    def __init__(self, spark: SparkSession, fan: int = FAN):
+    The runs are tables named after the index, so an index can be opened again by
+    its name.  A compacted run is written before its parts are dropped; after a
+    crash between the two, both are there, which changes no result.
+    """
+
+    def __init__(self, spark: SparkSession, fan: int = FAN, name: str | None = None):
+        if name and not re.fullmatch(r"[a-z][a-z0-9_]*", name):
+            raise ValueError("an index name has a-z, 0-9 and _ only")
         self.spark, self.fan = spark, fan
+        self.name = f"glyphloom_{name or 'run_' + uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []
+        known = (re.fullmatch(rf"{self.name}_level(\d+)_[0-9a-f]{{32}}", t.name) for t in spark.catalog.listTables(pattern=f"{self.name}_level*")) if name else ()
+        self.runs: list[tuple[int, str]] = sorted((int(m[1]), m[0]) for m in known if m)
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"glyphloom_run_{uuid.uuid4().hex}"
+        name = f"{self.name}_level{level}_{uuid.uuid4().hex}"
         rows.repartition(self.buckets, "fp").sortWithinPartitions("fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").saveAsTable(name)
         self.runs.append((level, name))
 
@@ -218,8 +231,8 @@ class FingerprintIndex:
             rows = self.spark.table(same[0][1])
             for _, name in same[1:]:
                 rows = rows.union(self.spark.table(name))
-            self.runs = [r for r in self.runs if r[0] != level]
             self._write(rows.distinct(), level + 1)
+            self.runs = [r for r in self.runs if r not in same]
             for _, name in same:
                 self.spark.sql(f"DROP TABLE {name}")
             level += 1
@@ -228,6 +241,7 @@ class FingerprintIndex:
         return [self.spark.table(name) for _, name in self.runs]
 
     def close(self) -> None:
+        """Drops the runs."""
         for _, name in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.runs = []
@@ -235,7 +249,7 @@ class FingerprintIndex:
 
 def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Workspace, last: bool, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The copied stretches (doc_id, th, pos, len) of a batch and the texts they lie in; adds the batch to the index unless it is the last."""
-    fps = batch.select("doc_id", "text").mapInArrow(_fingerprints(window, seed), "fp long, doc_id long")
+    fps = batch.select("doc_id", "text").mapInArrow(tidy(_fingerprints(window, seed)), "fp long, doc_id long")
     seen = fps.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     for k, run in enumerate(index.tables()):
         known = run.groupBy("fp").agg(F.lit(True).alias(f"run{k}"))
@@ -253,8 +267,8 @@ def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Wo
     owners = owners.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     texts = work.keep(upto.join(owners, "doc_id").select("doc_id", "th", "text", "fps").dropDuplicates(["doc_id", "th"]), "texts")
 
-    schema = "s1 long, s2 long, fp long, doc_id long, th int, pos int, len int"
-    seg = work.keep(texts.mapInArrow(_segments(window, seed), schema), "segments")
+    schema = "s1 long, s2 long, fp long, doc_id long, th long, pos int, len int"
+    seg = work.keep(texts.mapInArrow(tidy(_segments(window, seed)), schema), "segments")
     lows = seg.groupBy("s1", "s2").agg(F.min("doc_id").alias("lo"))
     ruled = work.keep(seg.join(lows, ["s1", "s2"]).select("fp", "doc_id", "th", "pos", "len", (F.col("doc_id") > F.col("lo")).alias("copy")), "ruled")
     work.drop(seg)
@@ -263,9 +277,10 @@ def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Wo
     varied = first.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     rest = first.join(varied, "fp", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "len")).alias("at"))
     one = texts.select("doc_id", "th", "text").join(rest, ["doc_id", "th"]).select("doc_id", "th", "text", "at")
-    one = work.keep(one.mapInArrow(_single_windows(window, seed), "d1 long, d2 long, doc_id long, th int, pos int"), "windows")
+    one = work.keep(one.mapInArrow(tidy(_single_windows(window, seed)), "d1 long, d2 long, doc_id long, th long, pos int"), "windows")
     low = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
-    single = one.join(low, ["d1", "d2"]).where("doc_id > lo").select("doc_id", "th", "pos", F.lit(1).alias("len"))
+    low = work.keep(low, "shared-windows")  # a join of two tables, so that the rows of a hot window are split between tasks
+    single = one.join(low.hint("shuffle_merge"), ["d1", "d2"]).where("doc_id > lo").select("doc_id", "th", "pos", F.lit(1).alias("len"))
 
     copies = ruled.where("copy").select("doc_id", "th", "pos", "len").union(single)
     copies = copies.join(batch.select("doc_id").distinct(), "doc_id", "left_semi") if index.runs else copies
@@ -276,32 +291,42 @@ def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Wo
     return copies, texts.select("doc_id", "th", "text")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text)."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, batches: int = BATCHES, fan: int = FAN, index: str | None = None, since: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text).
+
+    With the name of an index, all batches are added to it and it stays.  Documents
+    up to ``since`` are in it from earlier calls: they are read only to verify hits,
+    and the result is that of the later ones.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "substrings")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     ids = docs.where("doc_id is not null")
+    fresh = ids if since is None else ids.where(F.col("doc_id") > since)
     cuts = []
     if batches > 1:
         marks = [k / batches for k in range(1, batches)]
-        cuts = ids.agg(F.percentile_approx("doc_id", marks, 1000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    index = FingerprintIndex(spark, fan)
+        cuts = fresh.agg(F.percentile_approx("doc_id", marks, 1000)).first()[0] or []
+    bounds = [since, *sorted(set(cuts)), None]
+    runs = FingerprintIndex(spark, fan, index)
     cut = []
-    schema = "doc_id long, th int, n_words long, n_removed long, kept_sha256 string"
+    schema = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string"
     try:
         for k, (above, upto) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             until = ids if upto is None else ids.where(F.col("doc_id") <= upto)
             batch = until if above is None else until.where(F.col("doc_id") > above)
-            copies, texts = _copies(batch, until, index, work, k == len(bounds) - 2, window, seed)
-            cut.append(texts.join(copies, ["doc_id", "th"]).select("doc_id", "th", "text", "at").mapInArrow(_digest_rows(window, True), schema))
+            copies, texts = _copies(batch, until, runs, work, index is None and k == len(bounds) - 2, window, seed)
+            cut.append(texts.join(copies, ["doc_id", "th"]).select("doc_id", "th", "text", "at").mapInArrow(tidy(_digest_rows(window, True)), schema))
         changed = cut[0]
         for c in cut[1:]:
             changed = changed.union(c)
         changed = work.keep(changed, "changed")
     finally:
-        index.close()
-    whole = docs.mapInArrow(_digest_rows(window, False), schema).drop("n_removed")
+        if index is None:
+            runs.close()
+    asked = docs if since is None else docs.where(F.col("doc_id") > since)
+    whole = asked.mapInArrow(tidy(_digest_rows(window, False)), schema).drop("n_removed")
     changed = changed.select("doc_id", "th", "n_removed", F.col("kept_sha256").alias("cut_sha256"))
-    return whole.join(changed, ["doc_id", "th"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+    # changed rows grow with the input: never broadcast
+    both = whole.join(changed.hint("shuffle_merge"), ["doc_id", "th"], "left")
+    return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
