@@ -1,29 +1,33 @@
 """Hidden Markov language model: Baum-Welch over partitions, scaled forward scores.
 
 Tokens are a text's words (A-Z lower-cased) and one end token.  ``states``
-latent states emit *head* words, the ``head`` most frequent ones, or a tail
-mark; the word behind a tail mark is drawn from the tail words by add-one
-counts, whatever the state:
+latent states emit *symbols*: each of the ``head`` most frequent words, the end,
+and one of ``classes`` classes that all other words fall into by hash; the word
+behind a class is drawn from its class by add-one counts, whatever the state:
 
-    P(text) = forward(head ids and tail marks) * product over tail tokens of (c+1)/(T+V_tail+1)
+    P(text) = forward(symbols) * product over class tokens of (c+1)/(T_k+V_k+1)
 
-so the model is a proper distribution over token strings, with one share for all
-words never seen.  Baum-Welch's expected counts are taken over every training
-document: a partition adds up its own, the sums of all partitions re-estimate
-the model.  All ``warm + rounds`` rounds read all training documents, whose head
-ids are written once.
+with T_k the tokens and V_k the different words of class k in training.  So every
+word takes part in the latent chain, and the model is a proper distribution over
+token strings, with one share in each class for all its words never seen.
+Baum-Welch's expected counts are taken over every training document: a partition
+adds up its own, the sums of all partitions re-estimate the model.  All
+``rounds`` rounds read all training documents, whose symbols are written once.
 
-The head (at most ``head`` words) and the emission table (head * states floats,
-2 MB) are bounded by parameters and broadcast.  The counts of all other words
-are not bounded; each document's different tail words are joined to them.
+The emission table (at most (head + classes) * states floats, 3 MB) is bounded
+by parameters and broadcast.  The counts of words are not bounded: there is one
+for each different training word, and each document's different class words are
+joined to them.
 
 Words are told apart by 64-bit hashes (at 10^8 different words the chance of any
 collision is about 3 in 10^4).
 
 Defined results: null or empty text is the end token alone.  Null doc_id: in no
 training fold, held_out null, scored like any other.  Repeated rows: the same
-row again, each counting in training.  No training document: N = 0, every
-probability falls back to the uniform share.  Other columns are ignored.
+row again, each counting in training.  Equally frequent words (ties) enter the
+head in order of their hashes.  Very long texts are read whole.  No training
+document: N = 0, every probability falls back to the uniform share.  An empty
+table gives an empty table.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import Words, chunks, list_array, signed
+from glyphloom.llm._kernels import Words, chunks, list_array, signed, tidy
 from glyphloom.llm._stage import Workspace
 from glyphloom.llm.language_id import fold
 
 HEAD = 32768
+CLASSES = 1 << 14
 STATES = 8
-ROUNDS = 2
-WARM = 12
-BUFFER = 1 << 21
+ROUNDS = 5
+BUFFER = 1 << 19
 # Tokens that go through the recursions together: texts of like length share their steps.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 def _flush_counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,22 +75,26 @@ def _word_counts(batches):
 
 
 class Head:
-    """Sorted hashes of the head words; ids are places in it, then the end, then the tail mark."""
+    """The symbols: places of the head words by sorted hash, then the end, then the classes of all other words."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, tokens: np.ndarray, kinds: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.logs = np.log10(np.append(self.counts, [ends, 0]) + 1.0)  # none for the tail mark
+        self.logs = np.concatenate([np.log10(np.append(self.counts, ends) + 1.0), np.zeros(len(tokens))])  # none for classes
+        self.shares = np.concatenate([np.zeros(len(hashes) + 1), -np.log10(tokens + kinds + 1.0)])
         self.end = len(hashes)
-        self.tail = self.end + 1
-        self.size = self.end + 2
+        self.size = self.end + 1 + len(tokens)
+        self.shift = np.uint64(64 - (len(tokens).bit_length() - 1))
+        self.prior = np.concatenate([self.counts, [ends], tokens]) + 1.0
+        self.prior /= self.prior.sum()
 
     def ids(self, h: np.ndarray) -> np.ndarray:
+        other = (h >> self.shift).astype(np.int32) + np.int32(self.end + 1)
         if not self.end:
-            return np.full(len(h), self.tail, dtype=np.int32)
+            return other
         at = np.searchsorted(self.hashes, h)
         at[at == self.end] = 0
-        return np.where(self.hashes[at] == h, at, self.tail).astype(np.int32)
+        return np.where(self.hashes[at] == h, at, other).astype(np.int32)
 
 
 def sequences(column: pa.Array, head: Head):
@@ -176,33 +184,43 @@ def expected(ids: np.ndarray, begin: np.ndarray, model: Model, sums: tuple[np.nd
     """Adds the texts' expected start, step and emission counts to ``sums`` (forward-backward, scaled)."""
     start, step, emit = sums
     k = len(model.start)
+    table, move, first = model.emit.astype(np.float32), model.step.astype(np.float32), model.start.astype(np.float32)
+    back, one = np.ascontiguousarray(move.T), np.ones(k, dtype=np.float32)
     for docs, size in _groups(begin):
         at, longest = begin[docs], int(size[0])
-        live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
-        rows = np.concatenate([[0], np.cumsum(live)])
-        alphas = np.empty((rows[-1], k))
-        emits = model.emit[ids[np.concatenate([at[:n] + t for t, n in enumerate(live)])]]
-        scales = np.empty(rows[-1])
+        live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right").tolist()
+        rows = [0, *np.cumsum(live).tolist()]
+        order = ids[np.concatenate([at[:n] + t for t, n in enumerate(live)])]
+        emits = table[order]
+        alphas = np.empty_like(emits)
+        scales = np.empty(rows[-1], dtype=np.float32)
         for t in range(longest):
             a, b = rows[t], rows[t + 1]
-            x = emits[a:b] * (model.start if t == 0 else alphas[rows[t - 1] : rows[t - 1] + b - a] @ model.step)
-            scales[a:b] = x.sum(axis=1)
-            alphas[a:b] = x / scales[a:b, None]
-        beta = np.ones((live[-1], k))
-        gammas = alphas  # turned into posteriors from the end
-        for t in range(longest - 1, -1, -1):
-            a, b = rows[t], rows[t + 1]
-            if t < longest - 1:
-                n = rows[t + 2] - b
-                carry = emits[b : rows[t + 2]] * beta / scales[b : rows[t + 2], None]
-                step += model.step * (alphas[a : a + n].T @ carry)
-                beta = np.vstack([carry @ model.step.T, np.ones((b - a - n, k))])
-            post = alphas[a:b] * beta
-            gammas[a:b] = post / post.sum(axis=1, keepdims=True)  # of step t; the alphas of earlier steps are still there
-        start += gammas[: rows[1]].sum(axis=0)
-        order = ids[np.concatenate([at[:n] + t for t, n in enumerate(live)])]
+            x = alphas[a:b]
+            if t:
+                np.matmul(alphas[rows[t - 1] : rows[t - 1] + b - a], move, out=x)
+                x *= emits[a:b]
+            else:
+                np.multiply(emits[a:b], first, out=x)
+            scale = scales[a:b]
+            np.matmul(x, one, out=scale)
+            x /= scale[:, None]
+        # emits turns into what each step hands back: emission * beta / scale
+        emits /= scales[:, None]
+        betas = np.ones_like(emits)
+        for t in range(longest - 2, -1, -1):
+            a, b, c = rows[t], rows[t + 1], rows[t + 2]
+            carry = emits[b:c]
+            carry *= betas[b:c]
+            np.matmul(carry, back, out=betas[a : a + c - b])
+        if longest > 1:
+            before = np.concatenate([np.arange(rows[t], rows[t] + live[t + 1]) for t in range(longest - 1)])
+            step += model.step * (alphas[before].T @ emits[rows[1] :]).astype(np.float64)
+        alphas *= betas
+        alphas /= (alphas @ one)[:, None]
+        start += alphas[: rows[1]].sum(axis=0, dtype=np.float64)
         for s in range(k):
-            emit[:, s] += np.bincount(order, weights=gammas[:, s], minlength=len(emit))
+            emit[:, s] += np.bincount(order, weights=alphas[:, s], minlength=len(emit))
 
 
 def _encode(head: Head):
@@ -248,7 +266,7 @@ def _baum_welch(head: Head, model: Model):
 def _round(docs: DataFrame, head: Head, model: Model, prior: np.ndarray) -> Model:
     k = len(model.start)
     schema = "word int, " + ", ".join(f"s{s} double" for s in range(k))
-    got: pd.DataFrame = docs.mapInArrow(_baum_welch(head, model), schema).groupBy("word").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
+    got: pd.DataFrame = docs.mapInArrow(tidy(_baum_welch(head, model)), schema).groupBy("word").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
     table = np.zeros((head.size + 1 + k, k))
     word = got.word.to_numpy()
     table[np.where(word >= 0, word, head.size - 1 - word)] = got[[f"s{s}" for s in range(k)]].to_numpy()
@@ -256,22 +274,22 @@ def _round(docs: DataFrame, head: Head, model: Model, prior: np.ndarray) -> Mode
 
 
 def _scores(head: Head, model: Model):
-    """Scores of heads, and each text's different tail words with their counts."""
+    """Scores of symbols, and each text's different class words with their counts."""
 
     def run(batches):
         for batch in batches:
-            for held in together(sequences(batch.column(2), head)):
+            for held in together(sequences(batch.column(1), head)):
                 scores = forward(*joined(held), model)
                 for i, j, w, h, ids, begin in held:
                     score, scores = scores[: j - i], scores[j - i :]
-                    yield from one(batch, i, j, w, h, ids, begin, score)
+                    yield one(batch, i, j, w, h, ids, begin, score)
 
     def one(batch, i, j, w, h, ids, begin, score):
-        mine = ids == head.tail
         at = np.arange(len(h)) + w.doc
-        tail = h[mine[at]]
-        doc = w.doc[mine[at]]
-        known = np.add.reduceat(np.append(head.logs[ids], 0.0), begin[:-1]) if j > i else np.zeros(0)
+        mine = ids[at] > head.end
+        tail, doc = h[mine], w.doc[mine]
+        known = np.add.reduceat(head.logs[ids], begin[:-1])
+        score = score + np.add.reduceat(head.shares[ids], begin[:-1])
         order = np.lexsort((tail, doc))
         tail, doc = tail[order], doc[order]
         new = np.ones(len(tail), dtype=bool)
@@ -281,48 +299,50 @@ def _scores(head: Head, model: Model):
         sizes = np.bincount(doc[first], minlength=j - i)
         n_tail = np.bincount(doc, minlength=j - i)
         n = np.diff(begin)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(n - n_tail), pa.array(known), pa.array(score), list_array(signed(tail[first]), sizes), list_array(times.astype(np.int64), sizes)],
-            names=["doc_id", "th", "n_tokens", "n_head", "head_log", "score", "tail", "times"],
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).slice(i, j - i), pa.array(n), pa.array(n - n_tail), pa.array(known), pa.array(score), list_array(signed(tail[first]), sizes), list_array(times.astype(np.int64), sizes)],
+            names=["doc_id", "n_tokens", "n_head", "head_log", "score", "tail", "times"],
         )
 
     return run
 
 
-def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int = HEAD, states: int = STATES, rounds: int = ROUNDS, warm: int = WARM) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
+def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int = HEAD, classes: int = CLASSES, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text); ``classes`` is a power of two."""
     work = Workspace(docs.sparkSession, "hmm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = docs.where(fold(folds) != held)
 
-    counts = work.keep(train.select("text").mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
+    counts = work.keep(train.select("text").mapInArrow(tidy(_word_counts), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
     n_docs = train.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, vocab = words + n_docs, kinds + (1 if n_docs else 0)
     top = counts.orderBy(F.desc("c"), "w").limit(head_size).toPandas()
-    head = Head(top.w.to_numpy(dtype=np.int64).view(np.uint64), top.c.to_numpy(dtype=np.int64), n_docs)
-    tail_words, tail_kinds = words - int(head.counts.sum()), kinds - head.end
-
-    prior = np.concatenate([head.counts, [n_docs, tail_words]]) + 1.0
-    prior /= prior.sum()
-    model = Model.first(prior, states)
+    # what lies behind the head in that order, by class: at most ``classes`` rows
+    tokens, others = np.zeros(classes), np.zeros(classes)
+    if len(top):
+        least, last = int(top.c.iloc[-1]), int(top.w.iloc[-1])
+        rest = counts.where((F.col("c") < least) | ((F.col("c") == least) & (F.col("w") > last)))
+        by = F.shiftrightunsigned("w", 64 - (classes.bit_length() - 1)).cast("int")
+        for row in rest.groupBy(by.alias("k")).agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect():
+            tokens[row.k], others[row.k] = row.t, row.v
+    head = Head(top.w.to_numpy(dtype=np.int64).view(np.uint64), top.c.to_numpy(dtype=np.int64), n_docs, tokens, others)
+
+    model = Model.first(head.prior, states)
     if n_docs:
         # written once, as each round would split and hash the words of the whole table again
-        texts = work.keep(train.select("text").mapInArrow(_encode(head), "ids array<int>"), "ids")
-        for _ in range(warm + rounds):
-            model = _round(texts, head, model, prior)
+        texts = work.keep(train.select("text").mapInArrow(tidy(_encode(head)), "ids array<int>"), "ids")
+        for _ in range(rounds):
+            model = _round(texts, head, model, head.prior)
         work.drop(texts)
 
-    scored = docs.select("doc_id", F.hash("text").alias("th"), "text").mapInArrow(_scores(head, model), "doc_id long, th int, n_tokens long, n_head long, head_log double, score double, tail array<long>, times array<long>")
+    schema = "doc_id long, n_tokens long, n_head long, head_log double, score double, tail array<long>, times array<long>"
+    # numbered when written: a row's own number, whatever its doc_id
+    scored = docs.mapInArrow(tidy(_scores(head, model)), schema).withColumn("row", F.monotonically_increasing_id())
     scored = work.keep(scored, "scored")
-    tails = scored.select("doc_id", "th", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("doc_id", "th", F.col("t.tail").alias("w"), F.col("t.times").alias("m"))
-    found = tails.join(counts, "w").groupBy("doc_id", "th").agg(F.sum("m").alias("n_tail"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    # repeated rows have added up; their number is divided out instead of making all tail words distinct
-    copies = scored.groupBy(F.col("doc_id").alias("copy_id"), F.col("th").alias("copy_th")).agg(F.count("*").alias("copies"))
-    found = found.withColumnsRenamed({"doc_id": "found_id", "th": "found_th"}).join(copies, F.col("found_id").eqNullSafe(F.col("copy_id")) & (F.col("found_th") == F.col("copy_th")))
-    found = found.select("found_id", "found_th", (F.col("n_tail") / F.col("copies")).cast("long").alias("n_tail"), (F.col("tail_log") / F.col("copies")).alias("tail_log"))
-    both = scored.drop("tail", "times").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
-    tail_tokens = F.col("n_tokens") - F.col("n_head")
+    tails = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("w"), F.col("t.times").alias("m"))
+    found = tails.join(counts, "w").groupBy("row").agg(F.sum("m").alias("n_tail"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
+    both = scored.drop("tail", "times").join(found.hint("shuffle_merge"), "row", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return both.select(
         "doc_id",
@@ -331,5 +351,5 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, head_size: int =
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) - F.lit(0 if n_docs else 1)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head_log") + tail_log - F.col("n_tokens") * float(np.log10(total + vocab + 1))).alias("base_score"),
-        (F.col("score") + tail_log - tail_tokens * float(np.log10(tail_words + tail_kinds + 1))).alias("score"),
+        (F.col("score") + tail_log).alias("score"),
     )
