@@ -12,8 +12,10 @@ Every member of an interval but its first, in order of (doc_id, line), starts a
 later copy.  ``line_dedup`` deletes the lines that later copies cover, where a
 run counts if it has ``min_lines`` lines, or is one line of ``min_chars``
 characters or more.  A longer run is the union of its stretches of ``min_lines``
-lines, so the depth that decides is ``min_lines``: deeper ranks only name the
-lengths, and ``suffix_ranks`` goes on to them.
+lines, so the interval at ``min_lines`` decides what goes; doubling then goes on
+until no run repeats, and the deepest interval in which a document starts a later
+copy says how long a run it repeats (``run_depth``, a power of two).  The lines
+deleted side by side are the maximal runs (``n_runs``, ``longest_run``).
 
 Ranks are made without a single-task sort: the different keys are range
 partitioned, numbered inside each partition, and shifted by the sizes of the
@@ -21,7 +23,9 @@ partitions before it.
 
 Defined results: null text stays null, 0 lines.  Empty text is one blank line.
 Null doc_id: unchanged.  Repeated rows: not copies of each other; a doc_id with
-several texts orders them by their hash.  Other columns are ignored.
+several texts orders them by their hash.  Copies within one document: all but the
+first go.  Very long texts are taken whole.  An empty table gives an empty table.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +69,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _prepare(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
 
 def _double(level: DataFrame, depth: int, reach: int, work: Workspace) -> DataFrame:
@@ -90,23 +94,50 @@ def suffix_ranks(docs: DataFrame, depth: int | None = None) -> list[tuple[int, D
     return out
 
 
+def _deciding(levels: list[tuple[int, DataFrame]], min_lines: int, work: Workspace) -> DataFrame | None:
+    """The intervals at ``min_lines``, from those at powers of two; none if no such run repeats."""
+    depth, level = [x for x in levels if x[0] <= min_lines][-1]
+    if depth < min_lines and 2 * depth in (d for d, _ in levels) or depth < min_lines < 2 * depth:
+        return _double(level, depth, min_lines - depth, work)
+    return level if depth == min_lines else None
+
+
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, keep: list[str] = ()) -> DataFrame:
-    """doc_id, n_lines, n_removed, text (what is left) for every row of docs (doc_id, text); columns to keep follow, named kept_*."""
+    """doc_id, n_lines, n_removed, n_runs, longest_run, run_depth, text (what is left) for every row of docs (doc_id, text); columns to keep follow, named kept_*."""
     work = Workspace(docs.sparkSession, "lines")
-    levels = suffix_ranks(docs, min_lines)
-    single = levels[0][1].where("later").where(F.col("chars") >= min_chars).select("doc_id", "th", "j")
-    deepest = levels[-1][1].where("later").select("doc_id", "th", F.explode(F.sequence(F.col("j"), F.col("j") + F.lit(min_lines - 1))).alias("j"))
+    levels = suffix_ranks(docs)
+    gone = levels[0][1].where("later").where(F.col("chars") >= min_chars).select("doc_id", "th", "j")
+    if (decides := _deciding(levels, min_lines, work)) is not None:
+        gone = gone.union(decides.where("later").select("doc_id", "th", F.explode(F.sequence(F.col("j"), F.col("j") + F.lit(min_lines - 1))).alias("j")))
     places = levels[0][1].select("doc_id", "th", "j", "i")
-    gone = places.join(single.union(deepest).distinct(), ["doc_id", "th", "j"], "left_semi")
-    gone = work.keep(gone.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone")), "removed")
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.split(F.col("text").cast("string"), "\n").alias("lines"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    gone = places.join(gone.distinct(), ["doc_id", "th", "j"], "left_semi")
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone"), F.sort_array(F.collect_list("j")).alias("places"))
+    deep = None
+    for depth, level in levels:
+        one = level.where("later").groupBy("doc_id", "th").agg(F.lit(depth).cast("long").alias("run_depth"))
+        deep = one if deep is None else deep.union(one)
+    deep = deep.groupBy("doc_id", "th").agg(F.max("run_depth").alias("run_depth"))
+    zero = F.lit(0).cast("long")
+
+    def onward(at, j):
+        """Places side by side are one run."""
+        here = F.when(j == at["last"] + 1, at["here"] + 1).otherwise(zero + 1)
+        return F.struct((at["n"] + F.when(here == 1, 1).otherwise(0)).alias("n"), F.greatest(at["longest"], here).alias("longest"), here.alias("here"), j.cast("int").alias("last"))
+
+    runs = F.aggregate("places", F.struct(zero.alias("n"), zero.alias("longest"), zero.alias("here"), F.lit(-2).alias("last")), onward)
+    about = deep.join(gone.withColumn("runs", runs).drop("places"), ["doc_id", "th"], "left")
+    about = work.keep(about, "removed")
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split(F.col("text").cast("string"), "\n").alias("lines"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     # what is removed grows with the input: never broadcast, also where it happens to be small
-    both = split.join(gone.hint("shuffle_merge"), ["doc_id", "th"], "left")
+    both = split.join(about.hint("shuffle_merge"), ["doc_id", "th"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return both.select(
         "doc_id",
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.coalesce("runs.n", zero).alias("n_runs"),
+        F.coalesce("runs.longest", zero).alias("longest_run"),
+        F.coalesce("run_depth", zero).alias("run_depth"),
         F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n")).alias("text"),
         *[f"kept_{c}" for c in keep],
     )
@@ -129,12 +160,28 @@ WITH line AS (
   SELECT doc_id, i FROM marked WHERE later_pair OR later_line UNION SELECT doc_id, i2 FROM marked WHERE later_pair
 ), kept AS (
   SELECT line.doc_id, string_agg(x, chr(10) ORDER BY line.i) AS text FROM line ANTI JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY 1
+), stretch AS (
+  SELECT doc_id, b, count(*) AS n
+  FROM (SELECT doc_id, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS b FROM gone JOIN seq USING (doc_id, i)) GROUP BY 1, 2
+), runs AS (
+  SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM stretch GROUP BY 1
+), whole AS (
+  SELECT doc_id, list(md5(x) ORDER BY j) AS xs FROM seq GROUP BY 1
+), suffix AS (
+  SELECT doc_id, depth, j, md5(array_to_string(xs[j:j + depth - 1], '')) AS run
+  FROM (SELECT doc_id, xs, depth, unnest(generate_series(1, len(xs) - depth + 1)) AS j
+        FROM whole, (SELECT CAST(pow(2, k) AS BIGINT) AS depth FROM range(20) AS t(k)) WHERE depth <= len(xs))
+), deep AS (
+  SELECT doc_id, max(depth) AS run_depth FROM (SELECT doc_id, depth, row_number() OVER (PARTITION BY depth, run ORDER BY doc_id, j) AS k FROM suffix) WHERE k > 1 GROUP BY 1
 )
 SELECT d.doc_id,
        CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
        CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(r.n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(r.longest_run, 0) AS BIGINT) AS longest_run, CAST(coalesce(e.run_depth, 0) AS BIGINT) AS run_depth,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
 FROM documents d
 LEFT JOIN kept k ON d.doc_id = k.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON d.doc_id = g.doc_id
+LEFT JOIN runs r ON d.doc_id = r.doc_id
+LEFT JOIN deep e ON d.doc_id = e.doc_id
 """
