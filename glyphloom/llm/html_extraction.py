@@ -7,9 +7,10 @@ Arasu & Garcia-Molina, SIGMOD 2003).  Classes nest by paths: the room of a token
 is the pages that have the element around it (all of the host's for outermost
 ones), and a token is valid if it occurs on ``support`` of its room, which must
 be ``pages`` or more; so a notice in an element that only some pages have is
-measured within them.  The valid tokens by class are the host's template; text
-blocks that belong to it (menus, notices, imprints that repeat) go, and what lies
-in its remaining slots is read.
+measured within them.  A class nests in the class of the element around its
+tokens.  The valid classes are the host's template; text blocks that belong to it
+(menus, notices, imprints that repeat) go, and what lies in its remaining slots
+is read.
 
 Near copies of a page repeat its text without being a template, so they share one
 vote: pages meet by ``BANDS`` bands of ``ROWS`` min-hashes of the 3-word shingles
@@ -21,16 +22,23 @@ for each of its tokens and tasks.
 
 Slots are content or not by the template's element names: those that HTML itself
 reserves for navigation, page headers and footers, asides and forms, and those
-whose class, id or role says so (a fixed list of words).  If a page has article
-or main elements, its text is theirs, less the template's blocks in them.
+with a class, id or role made of such names alone (a fixed list of words; a class
+like ``social-history`` says nothing).  If a page has article or main elements,
+its text is theirs, less the template's blocks in them.
 
 A text block ends at any tag that is not inline.  Character references are
 decoded, white space in a block becomes one space, blocks are joined in page
-order by one space.
+order by one space.  A page is read once from start to end: a tag ends at the
+first ``>`` outside its quoted values; after the first tag that does not end so,
+quotes no longer count, and a ``<`` without any ``>`` behind it is text.  Paths
+are hashes made from the hash of the path around, so deep pages cost no more.
 
 Defined results: null or empty html: empty text.  Null url: the page is its own
 host's only one.  Null page_id and repeated rows: rows like any other; exact
-copies of a page count once in the vectors, pages without tags or text not at all.  Other columns are ignored.
+copies of a page count once in the vectors, pages without tags or text not at
+all.  Equal support (ties) is valid.  Very long pages take time in proportion to
+their length.  An empty table gives an empty table.  Columns with other names,
+also those used here, are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed
+from glyphloom.llm._kernels import Words, chunks, grams, list_array, mix, signed, tidy
 from glyphloom.llm._stage import Workspace
 
 SUPPORT = 0.9
@@ -53,7 +61,8 @@ PAGES = 5
 BANDS, ROWS = 8, 4
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>)""", re.S)
+_OPEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*))", re.S)
+_MARK = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
@@ -63,6 +72,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
+_HOLDS = frozenset("ul ol dl table div section article main body td aside nav".split())
+_CLOSES = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 # Elements that hold no article text.
 _OUT = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg math dialog menu".split())
 _NAMES = frozenset(
@@ -70,16 +81,29 @@ _NAMES = frozenset(
     "footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login comment comments disqus share sharing "
     "social related recommended widget toolbar pagination pager copyright".split()
 )
+# Words that say nothing beside one of those.
+_NEUTRAL = frozenset("area bar block box button buttons column container content footer group header inner item items link links list main module outer page panel post posts section site slot text top unit wrap wrapper left right bottom article articles form field icon icons".split())
 _CONTENT = frozenset("article main".split())
 
 
 class Block:
+    """A text block, the hash of the path around it, and whether its place is ruled out, or content."""
+
     __slots__ = ("text", "path", "out", "content")
 
-    def __init__(self, text: str, path: tuple[str, ...], out: bool, content: bool):
+    def __init__(self, text: str, path: int, out: bool, content: bool):
         self.text, self.path, self.out, self.content = text, path, out, content
 
 
+def _ruled_out(value: str) -> bool:
+    """Whether one of the names in a class, id or role is made of words for what is no article."""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if any(w in _NAMES for w in words) and all(w in _NAMES or w in _NEUTRAL for w in words):
+            return True
+    return False
+
+
 def _label(name: str, attrs: str) -> tuple[str, bool, str]:
     """(element name with its classes, whether class, id or role rule it out, role)."""
     classes, out, role = "", False, ""
@@ -89,31 +113,52 @@ def _label(name: str, attrs: str) -> tuple[str, bool, str]:
             classes = value
         if m[1].lower() == "role":
             role = value.strip().lower()
-        out = out or any(w.lower() in _NAMES for w in _WORDS.findall(value))
+        out = out or _ruled_out(value)
     return f"{name}.{classes}" if classes else name, out or role in ("complementary", "contentinfo", "search"), role
 
 
-def parse(page: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page, and its tags by path."""
+def _tag_end(page: str, at: int, quoted: bool) -> int:
+    """The place of the ``>`` that ends a tag whose attributes begin at ``at``, -1 if there is none."""
+    while quoted and (m := _MARK.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1 if quoted else page.find(">", at)
+
+
+def parse(page: str) -> tuple[list[Block], dict[int, tuple[int, int]]]:
+    """The text blocks of a page, and (occurrences, hash of the path around) of its tags by the hash of their path."""
     blocks: list[Block] = []
-    tags: Counter = Counter()
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, ruled out, content
+    tags: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int, bool, bool]] = []  # name, hash of the path, ruled out, content
+    inside: Counter = Counter()  # names on the stack
     held: list[str] = []
 
     def end_block() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
         if text:
-            blocks.append(Block(text, tuple(s[1] for s in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            blocks.append(Block(text, *(stack[-1][1:] if stack else (0, False, False))))
 
-    at, n = 0, len(page)
+    def cut(k: int) -> None:
+        for s in stack[k:]:
+            inside[s[0]] -= 1
+        del stack[k:]
+
+    def push(*entry) -> None:
+        inside[entry[0]] += 1
+        stack.append(entry)
+
+    at, n, quoted = 0, len(page), True
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             held.append(page[at:])
             break
         held.append(page[at:lt])
-        m = _TAG.match(page, lt)
+        m = _OPEN.match(page, lt)
         if m is None:
             held.append("<")
             at = lt + 1
@@ -121,69 +166,76 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         at = m.end()
         if m[2] is None:
             continue
+        gt = _tag_end(page, at, quoted)
+        if gt < 0 and quoted:
+            quoted, gt = False, page.find(">", at)
+        if gt < 0:
+            held.append(page[lt:])
+            break
+        attrs, at = page[at:gt], gt + 1
         name = m[2].lower()
-        if name in _INLINE and not m[3].strip():
-            continue
+        if name in _INLINE and not attrs.strip():
+            if not m[1] or not inside[name]:
+                continue
         if name not in _INLINE:
             end_block()
         if m[1]:
+            if not inside[name]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name in _INLINE and (any(s[0] not in _INLINE for s in stack[k + 1 :])):
-                        break
                     if name in _INLINE and stack[k][2]:
                         end_block()
-                    del stack[k:]
+                    cut(k)
+                    break
+                if name in _INLINE and stack[k][0] not in _INLINE:
                     break
             continue
-        label, out, role = _label(name, m[3])
+        label, out, role = _label(name, attrs)
+        around = stack[-1][1] if stack else 0
+        path = xxhash.xxh64_intdigest(label, around)
         if name in _INLINE:
             # an inline element matters only if its names rule it out
             if out:
                 end_block()
-                stack.append((name, label, True, False))
+                push(name, path, True, False)
             continue
-        if name in _CLOSED_BY_SAME:
+        if name in _CLOSED_BY_SAME and inside[name]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    cut(k)
+                    around = stack[-1][1] if stack else 0
+                    path = xxhash.xxh64_intdigest(label, around)
                     break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "td", "aside", "nav"):
+                if stack[k][0] in _HOLDS:
                     break
         above_out, above_content = (stack[-1][2], stack[-1][3]) if stack else (False, False)
         content = above_content or name in _CONTENT or role in _CONTENT
         out = above_out or out or name in _OUT or (name == "header" and not above_content)
-        tags["/".join([*(s[1] for s in stack), label])] += 1
+        tags[path] = (tags[path][0] + 1 if path in tags else 1, around)
         if name in _RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            close = _CLOSES[name].search(page, at)
             at = close.start() if close else n
-            stack.append((name, label, True, False))
+            push(name, path, True, False)
             continue
-        if name not in _VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, label, out, content and not out))
-        elif name not in _VOID and m[3].rstrip().endswith("/"):
-            stack.append((name, label, out, content and not out))  # a slash closes nothing in HTML
+        if name not in _VOID:  # a slash closes nothing in HTML
+            push(name, path, out, content and not out)
     end_block()
     return blocks, tags
 
 
-def _key(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(path) & 0xFFFFFFFF)
+def _key(path: int, text: str) -> int:
+    return xxhash.xxh64_intdigest("\0" + text, path)
 
 
-def page_tokens(blocks: list[Block], tags: Counter) -> dict[int, tuple[int, int, bool]]:
+def page_tokens(blocks: list[Block], tags: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int, bool]]:
     """(occurrences, hash of the element around, whether a text block) of each token, by its hash."""
     out: dict[int, tuple[int, int, bool]] = {}
     for b in blocks:
-        path = "/".join(b.path)
-        key = _key(path, b.text)
-        out[key] = (out[key][0] + 1 if key in out else 1, _key(path, "") if path else 0, True)
-    for path, n in tags.items():
-        # labels hold no slash unless a class does: the path around is the longest that is itself a tag
-        around = path.rpartition("/")[0]
-        while around and around not in tags:
-            around = around.rpartition("/")[0]
-        out[_key(path, "")] = (n, _key(around, "") if around else 0, False)
+        key = _key(b.path, b.text)
+        out[key] = (out[key][0] + 1 if key in out else 1, b.path, True)
+    for path, (n, around) in tags.items():
+        out[path] = (n, around, False)
     return out
 
 
@@ -239,7 +291,7 @@ def _tokens(batches):
 def main_text(page: str, template: np.ndarray) -> str:
     """The text of the slots that are content, less the template's own blocks (sorted hashes)."""
     known = set(template.tolist())
-    return " ".join(b.text for b in _content(parse(page)[0]) if _signed(_key("/".join(b.path), b.text)) not in known)
+    return " ".join(b.text for b in _content(parse(page)[0]) if _signed(_key(b.path, b.text)) not in known)
 
 
 def _extract(batches):
@@ -258,9 +310,9 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAGES) -> DataFrame:
-    """host, class (of equal occurrence vectors), tokens, blocks (arrays of hashes; blocks are those of text) of the valid tokens."""
+    """host, class (of equal occurrence vectors), parent (the class it nests in, null for outermost ones), tokens, blocks (arrays of hashes; blocks are those of text) of the valid tokens."""
     work = Workspace(pages.sparkSession, "templates")
-    seen = _hosted(pages).where("host is not null").select("host", "html").mapInArrow(_tokens, "host string, page long, bands array<long>, keys array<long>, counts array<int>, around array<long>, block array<boolean>")
+    seen = _hosted(pages).where("host is not null").select("host", "html").mapInArrow(tidy(_tokens), "host string, page long, bands array<long>, keys array<long>, counts array<int>, around array<long>, block array<boolean>")
     columns = ["bands", "keys", "counts", "around", "block"]
     different = work.keep(seen.where(F.size("keys") > 0).groupBy("host", "page").agg(*[F.first(c).alias(c) for c in columns]), "pages")
     # a page's vote: one for each group of near copies
@@ -277,9 +329,13 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAG
     tokens = each.groupBy("host", "token").agg(F.min("around").alias("around"), F.max("block").alias("block"), on, *vector)
     tokens = work.keep(tokens.where(F.col("on") >= support * least_pages), "tokens")
     whole = different.select("host", "page").join(votes.hint("shuffle_merge"), ["host", "page"], "left").groupBy("host").agg(F.round(F.sum(F.coalesce("vote", F.lit(1.0))), 6).alias("room"))
-    rooms = tokens.where("not block").select("host", F.col("token").alias("around"), F.col("on").alias("room")).union(whole.select("host", F.lit(0).cast("long").alias("around"), "room"))
-    valid = tokens.join(rooms.where(F.col("room") >= least_pages).hint("shuffle_merge"), ["host", "around"]).where(F.col("on") >= F.round(support * F.col("room"), 6))
-    return valid.groupBy("host", F.xxhash64("v1", "v2").alias("class")).agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("block"), F.col("token"))).alias("blocks"))
+    own = F.xxhash64("v1", "v2")
+    outermost = whole.select("host", F.lit(0).cast("long").alias("around"), "room", F.lit(None).cast("long").alias("parent"))
+    rooms = tokens.where("not block").select("host", F.col("token").alias("around"), F.col("on").alias("room"), own.alias("parent")).union(outermost)
+    rooms = work.keep(rooms.where(F.col("room") >= least_pages), "rooms")
+    valid = tokens.join(rooms.hint("shuffle_merge"), ["host", "around"]).where(F.col("on") >= F.round(support * F.col("room"), 6))
+    # tokens with equal vectors under different elements are classes of their own
+    return valid.groupBy("host", own.alias("class"), "parent").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("block"), F.col("token"))).alias("blocks"))
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAGES) -> DataFrame:
@@ -287,4 +343,5 @@ def extract(pages: DataFrame, support: float = SUPPORT, least_pages: int = PAGES
     work = Workspace(pages.sparkSession, "extraction")
     # the blocks of a template take up support * least_pages votes each
     template = work.keep(templates(pages, support, least_pages).where(F.size("blocks") > 0).groupBy("host").agg(F.flatten(F.collect_list("blocks")).alias("template")), "templates")
-    return _hosted(pages).join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # the templates grow with the hosts: never broadcast; the pages of a hot host are split between tasks
+    return _hosted(pages).join(template.hint("shuffle_merge"), "host", "left").select("page_id", "url", "html", "template").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
