@@ -10,14 +10,21 @@ no section; a token with none of its bytes in a section is counted as section -1
 Sections are the lines of a text, each with its line feed (``by_lines``), or
 named fields joined by a separator and encoded together (``by_fields``).
 
+A run of white space of ``LONG_SPACE`` characters or more is more than the
+vocabulary's matcher can hold.  It is one pre-token but for its last character,
+so texts are cut there and the run is merged by itself, with the same tokens.
+
 Defined results: null or empty text: one section of 0 tokens.  Null field: an
-empty section.  Null doc_id and repeated rows: rows like any other.  Clashing
-names of other columns do not matter, as only the named ones are read.
+empty section.  Null doc_id and repeated rows: rows like any other.  Ties: the
+earlier section.  Very long texts are encoded whole.  An empty table gives an
+empty table.  Clashing names of other columns do not matter, as only the named
+ones are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import as_text
+from glyphloom.llm._kernels import as_text, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+LONG_SPACE = 10_000
+# White space as the vocabulary's pattern has it, and the pattern's own end, on which cuts rely.
+_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
+_SPACE_RULE = r"\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=4)
@@ -43,6 +54,19 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def encode(enc, text: str) -> list[int]:
+    """The token ids of a whole text."""
+    if len(text) < LONG_SPACE or not enc._pat_str.endswith("|" + _SPACE_RULE) or r"[\r\n]" in enc._pat_str:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._core_bpe.encode_single_piece(text[m.start() : stop].encode())
+        at = stop
+    return out + enc.encode_ordinary(text[at:])
+
+
 def attribute(token_end: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For tokens that end at ``token_end`` (each starts where the one before ends): its section, and whether it crosses.
 
@@ -81,7 +105,7 @@ def _count(path: str, pattern: str, fields: int):
                     feeds = np.flatnonzero(data[offsets[k] : offsets[k + 1]] == 10) + 1
                     end = np.append(feeds, len(text)) if not len(feeds) or feeds[-1] < len(text) else feeds
                     start = np.concatenate([[0], end[:-1]])
-                ids = np.array(enc.encode_ordinary(text.decode("utf-8", "replace")), dtype=np.int64)
+                ids = np.array(encode(enc, text.decode("utf-8", "replace")), dtype=np.int64)
                 which, cross = attribute(np.cumsum(size[ids]), start, end)
                 n = np.bincount(which[which >= 0], minlength=len(start))
                 x = np.bincount(which[cross], minlength=len(start))
@@ -122,7 +146,7 @@ _SCHEMA = "doc_id long, section int, start long, stop long, n_tokens long, n_cro
 def by_lines(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, section (line), start, stop (characters), n_tokens, n_crossing for the lines of docs (doc_id, text)."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ready.mapInArrow(_count(*_vocabulary(path, pattern), 0), _SCHEMA)
+    return ready.mapInArrow(tidy(_count(*_vocabulary(path, pattern), 0)), _SCHEMA)
 
 
 def by_fields(rows: DataFrame, key: str, fields: list[str], separator: str = "\n", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -132,4 +156,4 @@ def by_fields(rows: DataFrame, key: str, fields: list[str], separator: str = "\n
     for p in parts:
         sizes += [F.octet_length(p).cast("long"), F.lit(len(separator.encode())).cast("long")]
     ready = rows.select(F.col(key).cast("long").alias("doc_id"), F.concat_ws(separator, *parts).alias("text"), F.array(*sizes[:-1]).alias("sizes"))
-    return ready.mapInArrow(_count(*_vocabulary(path, pattern), len(fields)), _SCHEMA)
+    return ready.mapInArrow(tidy(_count(*_vocabulary(path, pattern), len(fields))), _SCHEMA)
