@@ -96,6 +96,27 @@ def test_main_text():
     assert htm.main_text("<script>never closed", none) == "" and htm.main_text("<div class='sidebar'>x</div><div>y</div>", none) == "y"
 
 
+def test_names_in_class_attributes():
+    """A class, id or role rules an element out only if it is made of such names."""
+    none = np.zeros(0, dtype=np.int64)
+    wrap = lambda names: f"<article><p>Text</p><div class='{names}'>other</div></article>"
+    for names in ("social-history", "comment-on-economy", "ad-hoc", "bannerman", "subscription-models in-depth"):
+        assert htm.main_text(wrap(names), none) == "Text other", names
+    for names in ("ad", "ad-box", "newsletter-signup wide", "related_posts", "commentList", "share-buttons"):
+        assert htm.main_text(wrap(names), none) == "Text", names
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 200000, '<a "' * 200000, "<div>" * 50000, "<div>" * 20000 + "</x>" * 200000, "<x>" * 20000 + "<p>" * 20000, '<a "x <b> y" ' * 50000, "<li>" * 50000, "<" * 1000000, "<!--" * 100000, "<p>x" * 100000):
+        blocks, tags = htm.parse(page)
+        assert len(htm.page_tokens(blocks, tags)) <= len(page)
+    assert time.time() - began < 60
+    assert htm.parse("<p title='a>b'>c</p><p \"d>e</p>")[0][0].text == "c"
+
+
 def test_html_templates_inside_articles(spark):
     """Blocks of the template go inside article too, also in elements that few pages have; near copies of a page are no template."""
     rng = np.random.default_rng(5)
@@ -124,7 +145,10 @@ def test_html_templates(spark):
     assert got[90].text == got[90].text and "Welcome" in got[90].text and "Welcome" in got[91].text  # too few pages to tell
     assert got[92].text == got[93].text == "" and got[93].n_chars == 0 and got[None].text == "q" and got[90].url == "http://other.example/1"
     classes = htm.templates(df).collect()
-    assert {r.host for r in classes} == {"host.example"} and max(len(r.tokens) for r in classes) >= 4
+    assert {r.host for r in classes} == {"host.example"} and max(len(r.tokens) for r in classes) >= 3
+    # html is outermost; the class of body and of what it holds nests in it
+    named = {r["class"] for r in classes}
+    assert {r.parent for r in classes if r.parent is not None} <= named and any(r.parent is None for r in classes)
     assert htm.extract(df.limit(0)).count() == 0
 
 
