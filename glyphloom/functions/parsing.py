@@ -1,21 +1,30 @@
 """Columns from grammars: accept, extract, search and parse.
 
 ``matches``, ``extract`` and the search functions are JVM expressions if the
-grammar can be lowered; ``parse`` and everything else runs the parsing machine
-in Arrow batches.  ``plan`` says which.
+grammar can be lowered, and run the parsing machine in Arrow batches if not;
+``parse`` always does.  ``plan`` says which.
+
+A parse is one of the text in the grammar's normalization form, in both tiers.
+Texts whose code points are all tokens in NFC (``text.is_simple``) are matched as
+they are by the plain pattern, others are normalized and matched by whole
+clusters.  ``normalize=False`` matches texts as they are; the column is then
+deterministic whatever the grammar (see ``text.normalize``).  Searches read texts
+as they are.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.text import is_plain, is_simple, normalize as normalized
 from glyphloom.operators import vm
 from glyphloom.operators.grammar import Rule
-from glyphloom.operators.regexgen import PLAIN_TEXT, NotLowerable, lower
+from glyphloom.operators.regexgen import NotLowerable, ascii_only, exact, lower, prefix
 
 POSITION = "struct<char_index:int,token_index:int,line:int,char_column:int,token_column:int>"
 NODE = "struct<node_id:int,parent_id:int,subtree_end:int,depth:int,ordinal:int,symbol_id:int,name:string,flatten:string,is_leaf:boolean,start:int,end:int,text:string>"
@@ -45,94 +54,145 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _composed(c: Column, form: str | None) -> Column:
-    """The text in the grammar's normalization form; plain ASCII passes by."""
-    if not form:
-        return c
-    from glyphloom.functions.text import normalize
+def _split(c: Column, grammar: Rule, use, names: tuple[str, ...] = (), normalize: bool = False, steady: bool = False, **how) -> Column:
+    """``use(column, lowering)`` with the plain pattern for simple texts, the guarded one for others; ``steady``: accents decide nothing."""
+    other = c
+    if normalize and grammar.form:
+        # all that NFC turns into ASCII
+        other = F.translate(c, "\u212a\u037e\u1fef", "K;`") if steady and grammar.form == "NFC" and ascii_only(grammar) else normalized(c, grammar.form)
+    simple = is_simple(c) if grammar.form in (None, "NFC") else is_plain(c)
+    return F.when(simple, use(c, lower(grammar, names, plain=True, **how))).otherwise(use(other, lower(grammar, names, **how)))
 
-    return F.when(c.rlike(r"\A[\x00-\x7F]*+\z"), c).otherwise(normalize(c, form))
 
-
-def _split(c: Column, grammar: Rule, use, names: tuple[str, ...] = (), normalize: bool = False, **how) -> Column:
-    """``use(column, lowering)`` with the plain pattern for plain texts, the guarded one for others."""
-    c = _composed(c, grammar.form) if normalize else c
-    return F.when(c.rlike(PLAIN_TEXT), use(c, lower(grammar, names, plain=True, **how))).otherwise(use(c, lower(grammar, names, **how)))
-
-
-def matches(text: Column | str, grammar: Rule, allow_trailing: bool = False, normalize: bool = False) -> Column:
-    """Whether the grammar accepts the text; null for null."""
+def matches(text: Column | str, grammar: Rule, allow_trailing: bool = False, normalize: bool = True) -> Column:
+    """Whether the grammar accepts the text; null for null.  What all accepted texts begin with is a predicate of its own, which scans take over."""
     grammar, c = _ready(grammar), _col(text)
+    if not allow_trailing and (only := exact(grammar)) is not None:
+        return c == only if not normalize or not grammar.form or grammar.form == "NFC" else normalized(c, grammar.form) == only
     try:
-        return _split(c, grammar, lambda x, low: x.rlike(low.pattern), normalize=normalize, allow_trailing=allow_trailing)
+        ok = _split(c, grammar, lambda x, low: x.rlike(low.pattern), normalize=normalize, steady=True, allow_trailing=allow_trailing)
     except NotLowerable:
         return parse(c, grammar, allow_trailing=allow_trailing)["outcome"] == vm.SUCCESS
+    first = prefix(grammar) if grammar.form in (None, "NFC") else ""
+    return c.startswith(first) & ok if first else ok
 
 
-def extract(text: Column | str, grammar: Rule, names: tuple[str, ...] | None = None, allow_trailing: bool = False, normalize: bool = False) -> Column:
-    """A struct of the texts of the named rules, null if the text is rejected; a name that took no part is null."""
+def extract(text: Column | str, grammar: Rule, names: tuple[str, ...] | None = None, allow_trailing: bool = False, normalize: bool = True) -> Column:
+    """A struct of the texts of the named rules, null if the text is rejected; a name that took no part is null, and of several matches the first counts."""
     grammar, c = _ready(grammar), _col(text)
     names = tuple(names or grammar.names())
     try:
         def fields(x: Column, low) -> Column:
-            return F.when(x.rlike(low.pattern), F.struct(*[F.nullif(F.regexp_extract(x, low.pattern, low.groups[n]), F.lit("")).alias(n) for n in names]))
+            one = lambda n: (lambda v: v if low.empty[n] else F.nullif(v, F.lit("")))(F.regexp_extract(x, low.pattern, low.groups[n]))
+            return F.when(x.rlike(low.pattern), F.struct(*[one(n).alias(n) for n in names]))
 
         return _split(c, grammar, fields, names, normalize, allow_trailing=allow_trailing)
     except (NotLowerable, KeyError):
-        from glyphloom.operators.tree import find, text_of
+        kind = pa.struct([(n, pa.string()) for n in names])
+
+        def row(program: vm.Program, t: str, options: vm.Options) -> dict | None:
+            r = vm.parse(program, t, options)
+            return {n: texts_of(r, n) for n in names} if r.success else None
+
+        return _machine(c, grammar, row, kind, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", allow_trailing=allow_trailing)
+
+
+def texts_of(result: vm.Result, name: str) -> str | None:
+    """The text of the leaves in the first node with a name, in pre-order; None if there is none."""
+    stack = result.nodes[::-1]
+    while stack:
+        n = stack.pop()
+        if n.rule.name == name:
+            return "".join(result.parsed[x.start : x.end] for x in vm.leaves(n))
+        stack += (n.children or ())[::-1]
+    return None
 
-        r = parse(c, grammar, allow_trailing=allow_trailing)
-        return F.when(r["outcome"] == vm.SUCCESS, F.struct(*[text_of(r["nodes"], find(r["nodes"], n)).alias(n) for n in names]))
+
+def _machine(c: Column, grammar: Rule, row, arrow: pa.DataType, kind: str, **options) -> Column:
+    """``row(program, text, options)`` of each text, null for null."""
+    settings, program = vm.Options(**options), None
+
+    def run(column: pa.Array) -> pa.Array:
+        nonlocal program
+        if program is None:
+            program = vm.Program(grammar, settings.preserve_all)
+        return pa.array([None if t is None else row(program, t, settings) for t in column.to_pylist()], arrow)
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(c)
+
+
+def _found(grammar: Rule, text: Column | str, use, names: tuple[str, ...], row, arrow: pa.DataType, kind: str) -> Column:
+    """A search by pattern, or ``row(text, matches)`` of the machine's."""
+    grammar, c = _ready(grammar), _col(text)
+    try:
+        return _split(c, grammar, use, names, anchored=False)
+    except (NotLowerable, KeyError):
+        return _machine(c, grammar, lambda program, t, options: row(t, list(vm.search(program, t, options))), arrow, kind)
 
 
 def extract_all(text: Column | str, grammar: Rule, name: str | None = None) -> Column:
-    """The texts of all matches found from left to right, or of one named rule in each."""
-    grammar = _ready(grammar)
-    return _split(_col(text), grammar, lambda x, low: F.regexp_extract_all(x, F.lit(low.pattern), F.lit(low.groups[name] if name else 0)), (name,) if name else (), anchored=False)
+    """The texts of all matches found from left to right, or of one named rule in each ('' where it took no part)."""
+    use = lambda x, low: F.regexp_extract_all(x, F.lit(low.pattern), F.lit(low.groups[name] if name else 0))
+    row = lambda t, found: [(texts_of(r, name) or "") if name else t[a:b] for a, b, r in found]
+    return _found(grammar, text, use, (name,) if name else (), row, pa.list_(pa.string()), "array<string>")
 
 
 def count_matches(text: Column | str, grammar: Rule) -> Column:
-    return _split(_col(text), _ready(grammar), lambda x, low: F.regexp_count(x, F.lit(low.pattern)), anchored=False)
+    return _found(grammar, text, lambda x, low: F.regexp_count(x, F.lit(low.pattern)), (), lambda t, found: len(found), pa.int32(), "int")
 
 
 def find_position(text: Column | str, grammar: Rule) -> Column:
     """The 1-based place of the first match, in code points; 0 if there is none."""
-    return _split(_col(text), _ready(grammar), lambda x, low: F.regexp_instr(x, F.lit(low.pattern)), anchored=False)
+    return _found(grammar, text, lambda x, low: F.regexp_instr(x, F.lit(low.pattern)), (), lambda t, found: found[0][0] + 1 if found else 0, pa.int32(), "int")
 
 
 def replace_all(text: Column | str, grammar: Rule, by: str = "") -> Column:
-    return _split(_col(text), _ready(grammar), lambda x, low: F.regexp_replace(x, low.pattern, by), anchored=False)
+    """The text with each match replaced by ``by`` as it stands."""
+    quoted = by.replace("\\", "\\\\").replace("$", "\\$")
 
+    def row(t: str, found: list) -> str:
+        out, at = [], 0
+        for a, b, _ in found:
+            out += [t[at:a], by]
+            at = b
+        return "".join([*out, t[at:]])
 
-# -- the machine
-_programs: dict[tuple, vm.Program] = {}
-
+    return _found(grammar, text, lambda x, low: F.regexp_replace(x, low.pattern, quoted), (), row, pa.string(), "string")
 
-def flat_nodes(result: vm.Result, wanted: frozenset | None = None) -> list[dict]:
-    """The nodes in pre-order; leaves carry their text."""
-    out: list[dict] = []
 
-    def add(n: vm.Node, parent: int, depth: int, ordinal: int) -> None:
-        me = len(out)
+# -- the machine
+def flat_nodes(result: vm.Result) -> Iterator[tuple]:
+    """The nodes in pre-order, as tuples of the fields of ``NODE``; leaves carry their text."""
+    text, number = result.parsed, 0
+    # (node, parent, depth, ordinal); a node's subtree ends where the next one behind it begins, so sizes come first
+    sizes: dict[int, int] = {}
+    for n in result.nodes:
+        for x in vm.bottom_up(n):
+            sizes[id(x)] = 1 + sum(sizes[id(c)] for c in x.children or ())
+    stack = [(n, -1, 0, k) for k, n in reversed(list(enumerate(result.nodes)))]
+    while stack:
+        n, parent, depth, ordinal = stack.pop()
         leaf = n.children is None
-        row = {
-            "node_id": me, "parent_id": parent, "subtree_end": me + 1, "depth": depth, "ordinal": ordinal, "symbol_id": n.id, "name": n.rule.name or n.rule.kind,
-            "flatten": n.rule.shape_of, "is_leaf": leaf, "start": n.start, "end": n.end, "text": result.parsed[n.start : n.end] if leaf else None,
-        }
-        out.append(row)
-        for k, child in enumerate(n.children or ()):
-            add(child, me, depth + 1, k)
-        row["subtree_end"] = len(out)
-
-    for k, n in enumerate(result.nodes):
-        add(n, -1, 0, k)
-    return out
-
-
-def as_row(result: vm.Result) -> dict:
-    p = result.position
-    error = None if p is None else {"char_index": p.char_index, "token_index": p.token_index, "line": p.line, "char_column": p.char_column, "token_column": p.token_column}
-    return {"outcome": result.outcome, "error_message": result.message, "error": error, "parse_input": result.parsed, "nodes": flat_nodes(result)}
+        yield number, parent, number + sizes[id(n)], depth, ordinal, n.id, n.rule.name or n.rule.kind, n.rule.shape_of, leaf, n.start, n.end, text[n.start : n.end] if leaf else None
+        if not leaf:
+            stack += [(c, number, depth + 1, k) for k, c in reversed(list(enumerate(n.children)))]
+        number += 1
+
+
+def as_array(results: list[vm.Result | None]) -> pa.Array:
+    """Parse results as an Arrow column, made by columns."""
+    places = [None if r is None else r.position for r in results]
+    error = pa.StructArray.from_arrays([pa.array([getattr(p, f.name) if p else None for p in places], f.type) for f in _POSITION], fields=list(_POSITION), mask=pa.array([p is None for p in places]))
+    ends, rows = [0], []
+    for r in results:
+        if r is not None and r.success:
+            rows += flat_nodes(r)
+        ends.append(len(rows))
+    columns = list(zip(*rows, strict=True)) or [()] * len(_NODE)
+    nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE, strict=True)], fields=list(_NODE)))
+    texts = [pa.array([getattr(r, n) if r else None for r in results], pa.string()) for n in ("outcome", "message", "parsed")]
+    return pa.StructArray.from_arrays([texts[0], texts[1], error, texts[2], nodes], fields=list(_RESULT), mask=pa.array([r is None for r in results]))
 
 
 def parse(text: Column | str, grammar: Rule, **options) -> Column:
@@ -145,7 +205,7 @@ def parse(text: Column | str, grammar: Rule, **options) -> Column:
         nonlocal program
         if program is None:
             program = vm.Program(grammar, settings.preserve_all)
-        return pa.array([None if t is None else as_row(vm.parse(program, t, settings)) for t in column.to_pylist()], _RESULT)
+        return as_array([None if t is None else vm.parse(program, t, settings) for t in column.to_pylist()])
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, RESULT)(_col(text))
@@ -197,8 +257,7 @@ def node_function(grammar: Rule, **options):
             if text is not None:
                 r = vm.parse(self.program, text, settings)
                 if r.success:
-                    for n in flat_nodes(r):
-                        yield tuple(n.values())
+                    yield from flat_nodes(r)
 
     return F.udtf(Nodes, returnType=NODE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ").replace("end int", "`end` int").replace("subtree_`end` int", "subtree_end int"))
 
@@ -225,4 +284,6 @@ def parse_with_errors(df: DataFrame, text: str, grammar: Rule, into: str = "pars
     ok = matches(text, grammar, allow_trailing=bool(options.get("allow_trailing")))
     rejected = F.when(~ok, F.col(text))  # null texts give null results at once
     df = df.withColumn(into, parse(rejected, grammar, **options))
-    return df.withColumn(into, F.when(F.col(text).isNotNull(), F.struct(F.col(into).isNull().alias("accepted"), F.col(into)["error_message"].alias("error_message"), F.col(into)["error"].alias("error"))))
+    # the machine has the last word, should Unicode versions differ
+    accepted = F.col(into).isNull() | (F.col(into)["outcome"] == vm.SUCCESS)
+    return df.withColumn(into, F.when(F.col(text).isNotNull(), F.struct(accepted.alias("accepted"), F.col(into)["error_message"].alias("error_message"), F.col(into)["error"].alias("error"))))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ASCII_ONE = r"\A[\x00-\x0C\x0E-\x7F]*+\z"
+# Texts of these code points alone: each is a token, and NFC leaves them as they are.
+SIMPLE = r"\A[\x00-\x0C\x0E-\x{2FF}\x{370}-\x{373}\x{375}-\x{37D}\x{37F}-\x{386}\x{388}-\x{482}\x{48A}-\x{590}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20CF}\x{3000}-\x{3029}\x{3041}-\x{3098}\x{309B}-\x{30FF}\x{4E00}-\x{9FFF}]*+\z"
 LINE_END = r"(?>\r\n|[\n\x0B\f\r\x85\x{2028}\x{2029}])"
 
 
@@ -16,10 +14,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_plain(text: Column | str) -> Column:
+    """Whether the text is ASCII without carriage returns, by its lengths alone."""
+    c = _col(text)
+    return (F.octet_length(c) == F.char_length(c)) & ~F.contains(c, F.lit("\r"))
+
+
+def is_simple(text: Column | str) -> Column:
+    """Whether each code point is surely a token of its own, and the text in NFC; rare scripts count as not simple."""
+    c = _col(text)
+    return is_plain(c) | c.rlike(SIMPLE)
+
+
 def grapheme_count(text: Column | str) -> Column:
     """The number of tokens; texts whose every code point is one are only measured."""
     c = _col(text)
-    return F.when(c.rlike(ASCII_ONE), F.char_length(c)).otherwise(F.regexp_count(c, F.lit(r"\X")))
+    return F.when(is_simple(c), F.char_length(c)).otherwise(F.regexp_count(c, F.lit(r"\X")))
 
 
 def graphemes(text: Column | str) -> Column:
@@ -61,22 +71,24 @@ def single_rune(text: Column | str) -> Column:
     return F.when(F.char_length(_col(text)) == 1, F.ascii(_col(text)))
 
 
-def normalize(text: Column | str, form: str = "NFC") -> Column:
-    """A Unicode normalization form; Spark has none built in."""
+# The JVM's own normalizer: (method, compatibility) of each form.
+_FORMS = {"NFC": ("compose", False), "NFKC": ("compose", True), "NFD": ("decompose", False), "NFKD": ("decompose", True)}
+
 
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize(form, t) for t in column.to_pylist()], pa.string())
+def normalize(text: Column | str, form: str = "NFC") -> Column:
+    """A Unicode normalization form, in the JVM; texts that surely are in it pass by.
 
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")(_col(text))
+    Spark takes a call by reflection for nondeterministic, so the column can be
+    projected and filtered by, but not be an argument of an aggregate function.
+    """
+    c = _col(text)
+    method, compatible = _FORMS[form]
+    done = is_simple(c) if form == "NFC" else F.octet_length(c) == F.char_length(c)
+    return F.when(c.isNull() | done, c).otherwise(F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(compatible)))
 
 
 def is_normalized(text: Column | str, form: str = "NFC") -> Column:
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else unicodedata.is_normalized(form, t) for t in column.to_pylist()], pa.bool_())
-
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "boolean")(_col(text))
+    return normalize(text, form) == _col(text)
 
 
 def position(text: Column | str, at: Column | int) -> Column:

@@ -13,9 +13,6 @@ from glyphloom.operators.charset import TokenSet
 from glyphloom.operators.grammar import UNBOUNDED, Rule
 from glyphloom.operators.segment import clusters
 
-# Texts that match need no cluster guards: ASCII without carriage returns.
-PLAIN_TEXT = r"\A[\x00-\x0C\x0E-\x7F]*+\z"
-
 
 class NotLowerable(ValueError):
     """The grammar needs the parsing machine."""
@@ -46,13 +43,71 @@ def nullable(rule: Rule, seen: frozenset = frozenset()) -> bool:
     return k == "custom"
 
 
+# Where a token begins: not before a mark or joiner that has something to join, nor behind a joiner or inside CRLF.
+_TOKEN_START = r"(?:\A|(?<=[\p{Cc}\x{2028}\x{2029}])|(?![\p{M}\x{200C}\x{200D}\x{1F3FB}-\x{1F3FF}])(?<!\x{200D}))(?<!\r(?=\n))"
+
+# ASCII that no other code point becomes under NFC: U+212A, U+037E and U+1FEF turn into these three.
+_TURNED = "K;`"
+
+
+def _steady(text: str) -> bool:
+    return text.isascii() and not any(c in _TURNED for c in text)
+
+
+def prefix(rule: Rule) -> str:
+    """What every accepted text begins with, as far as the rules say; empty if that is not ASCII."""
+    text = _prefix(rule.target(), frozenset())[0]
+    return text if _steady(text) else ""
+
+
+def _prefix(rule: Rule, seen: frozenset) -> tuple[str, bool]:
+    """(what a match begins with, whether it is the whole match)."""
+    if id(rule) in seen:
+        return "", False
+    seen = seen | {id(rule)}
+    if rule.kind in ("literal", "token"):
+        return rule.args["text"], True
+    if rule.kind in ("alias", "late"):
+        return _prefix(rule.children[0], seen)
+    if rule.kind == "repeat" and rule.args["least"] > 0:
+        text, whole = _prefix(rule.children[0], seen)
+        return text, whole and rule.args["most"] == 1
+    if rule.kind == "seq":
+        text = ""
+        for c in rule.children:
+            part, whole = _prefix(c, seen)
+            text += part
+            if not whole:
+                return text, False
+        return text, True
+    return "", rule.kind == "eof"
+
+
+def exact(rule: Rule) -> str | None:
+    """The one text that the grammar accepts whole, if it is that and ASCII."""
+    text, whole = _prefix(rule.target(), frozenset())
+    return text if whole and text and _steady(text) else None
+
+
+def ascii_only(rule: Rule) -> bool:
+    """Whether all texts and sets of the grammar are ASCII, so that accents decide nothing."""
+    for r in rule.walk():
+        if r.kind in ("custom", "within", "identifier"):
+            return False
+        for v in r.args.values():
+            if isinstance(v, str) and not v.isascii() or isinstance(v, TokenSet) and (v.clusters or v.spans and v.spans[-1][1] > 0x7F):
+                return False
+    return True
+
+
 class Lowering:
-    """One grammar as a pattern; ``groups`` maps the wanted names to capture groups."""
+    """One grammar as a pattern; ``groups`` maps the wanted names to capture groups, ``empty`` says which of them may match nothing."""
 
     def __init__(self, rule: Rule, names: tuple[str, ...] = (), plain: bool = False):
         if rule.is_recursive():
             raise NotLowerable("the grammar is recursive")
-        self.names, self.plain, self.groups = set(names), plain, {}
+        self.names, self.plain, self.groups, self.empty = set(names), plain, {}, {}
+        self.maybe = 0  # how many parts that need not take part are around
         self.pattern = self._body(rule, 0)
 
     def _one(self, s: TokenSet) -> str:
@@ -79,6 +134,9 @@ class Lowering:
             if rule.name in self.groups:
                 raise NotLowerable(f"{rule.name} occurs twice")
             self.groups[rule.name] = len(self.groups) + 1
+            self.empty[rule.name] = nullable(rule)
+            if self.empty[rule.name] and self.maybe:
+                raise NotLowerable(f"{rule.name} may match nothing or take no part, which a pattern cannot tell")
             return "(" + make() + ")"
         return make()
 
@@ -88,6 +146,16 @@ class Lowering:
         return self._named(rule, lambda: self._plain_body(rule, repeated))
 
     def _plain_body(self, rule: Rule, repeated: int) -> str:
+        k, a, ch = rule.kind, rule.args, rule.children
+        if k in ("choice", "not", "peek", "scan_until") or k == "repeat" and a["least"] == 0:
+            self.maybe += 1
+            try:
+                return self._of_kind(rule, repeated)
+            finally:
+                self.maybe -= 1
+        return self._of_kind(rule, repeated)
+
+    def _of_kind(self, rule: Rule, repeated: int) -> str:
         k, a, ch = rule.kind, rule.args, rule.children
         low = lambda r, more=0: self._body(r, repeated + more)
         if k in ("literal", "token"):
@@ -151,6 +219,8 @@ def lower(rule: Rule, names: tuple[str, ...] = (), plain: bool = False, anchored
     out = Lowering(rule, names, plain)
     if anchored:
         out.pattern = rf"\A{out.pattern}" + ("" if allow_trailing else r"\z")
+    elif not plain:
+        out.pattern = _TOKEN_START + out.pattern
     return out
 
 

@@ -96,7 +96,7 @@ def url_parts(spark, sf_dir):
         g.scan_while(lower_case).as_("scheme"), g.literal("://"), g.scan_while(charset.UNIVERSE - charset.TokenSet.runes("/?#")).as_("host"), g.scan_while(charset.UNIVERSE - charset.TokenSet.runes("?#"), 0).as_("path")
     )
     e = parsing.extract("url", rule, allow_trailing=True)
-    return _t(spark, sf_dir, "pages").select("page_id", e.alias("e")).where("e is not null").select("page_id", "e.scheme", "e.host", "e.path")
+    return _t(spark, sf_dir, "pages").select("page_id", e.alias("e")).where("e is not null").select("page_id", "e.scheme", "e.host", F.expr("nullif(e.path, '')").alias("path"))
 
 
 @query("SELECT o_orderkey, regexp_extract(o_orderpriority, '^[0-9]-(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)$', 1) AS priority FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]-(URGENT|HIGH|MEDIUM|NOT SPECIFIED|LOW)$')")

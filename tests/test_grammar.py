@@ -247,3 +247,98 @@ def test_stream_and_sources(spark, tmp_path):
     nodes = tree.node_table(texts.read_lines(spark, str(tmp_path / "in")).withColumn("r", parsing.parse("text", rule())), "path", F.col("r.nodes"))
     texts.write_nodes(nodes, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("name = 'key'").count() == 2
+
+
+def library():
+    """(grammar, texts) of the library: accepted ones, broken ones and ones cut short."""
+    from glyphloom.grammars import data, documents, formats
+
+    return [
+        (data.json_document, ['{"a":[1,{"b":null}],"c":"x\\n\\u00e9"}', " [1.5e3 , -2,true]\n", '{"a":1,}', '"é"', "[" * 300 + "]" * 300, "[" * 30 + "1" + "]" * 30]),
+        (data.json_string, ['"a\\u00e9\\ud83d\\ude00"', '"\\q"', '"a\tb"', '"open']),
+        (data.arithmetic, ["1+2*(3-4)/-5", " 4 * 5 ", "1+", "((((1))))"]),
+        (documents.css, ["a,b > c { x: url(a;b)!important }", "@media x { a{b:c} }", "/* c */ a{", "a{}"]),
+        (documents.markup, ['<a x="1"><b/>t<!-- c --></a>', '<?xml version="1.0"?><a/>', "<a><b></a>"]),
+        (lambda: documents.markup(True), ["<!DOCTYPE html><p>a<br>b</p>", '<div class=x hidden><img src="a"></div>', "<p>"]),
+        (documents.prolog, ["foo(X,[1,2|T]) :- bar(X), \\+ baz(T), X is Y + 1. % c", "foo("]),
+        (documents.toml, ["a = 1\n[b]\nc = [true, 'x']", "[[t]]\nh = 0xFF\r\n[[t]]\nd = 1979-05-27", "a = 01", 'k = """x\ny"""']),
+        (documents.bibtex, ['@string{j = "J"} @article{张2019, title = {A {B}}, journal = j # " X", year = 2019,}', "@article{x, title = {A"]),
+        (data.resp, ["*2\r\n:1\r\n$-1\r\n", "+OK\r\n", "$2\r\nab\r\n", "*1\r\n"]),
+        (formats.filter_expression, ['a = "b" and b = "c" or c = "d"', "a >= 3", "a"]),
+        (formats.semver, ["1.0.0-alpha.1+b.5", "01.2.3"]),
+        (formats.requirement, ["requests[security,tests] >= 2.8.1, == 2.8.*", "a@http://x.y/z", ">=1"]),
+        (formats.conventional_commit, ["feat(core)!: add x", "fix: a\n\nBREAKING CHANGE: b", "nothing"]),
+        (formats.box, ["width=4 height=5 depth=6", "width=4 width=5 depth=6"]),
+        (formats.chord, ["Cmaj7#11", "D/F#", "H"]),
+    ]
+
+
+def same(quick, slow):
+    tree_of = lambda r: [(x.rule, x.id, x.start, x.end, x.children is None) for n in r.nodes for x in vm.bottom_up(n)]
+    assert (quick.outcome, quick.message, quick.at, tree_of(quick)) == (slow.outcome, slow.message, slow.at, tree_of(slow)), quick.text
+
+
+def test_quick_path_is_the_exact_machine():
+    """On the library, with texts cut short and changed, and on random grammars; a timeout keeps the exact machine."""
+    rng = random.Random(8)
+    for make, texts in library():
+        for raw in (False, True):
+            program = vm.Program(make(), raw)
+            for t in texts:
+                variants = [t, t[: len(t) // 2], t + t, t.replace("a", "é"), *["".join(rng.sample(t, len(t)))[:40] for _ in range(3)]]
+                variants += [t[:k] + rng.choice(['"', "{", "x", " ", "1", "]", "\n"]) + t[k + 1 :] for k in rng.sample(range(len(t)), min(len(t), 8))]
+                for v in variants:
+                    same(vm.parse(program, v, vm.Options(preserve_all=raw)), vm.parse(program, v, vm.Options(preserve_all=raw, timeout=1e6)))
+    for seed in range(400):
+        program = vm.Program(random_rule(random.Random(seed)))
+        for t in ("", "a", "ab", "abab", "aéb", "bba", "é", "a\r\nb"):
+            for trailing in (False, True):
+                same(vm.parse(program, t, vm.Options(allow_trailing=trailing)), vm.parse(program, t, vm.Options(allow_trailing=trailing, timeout=1e6)))
+
+
+def test_extract_and_search_in_the_machine(spark):
+    """Repeated names, recursion and empty matches; a pattern's answers where both tiers can give them."""
+    from pyspark.sql import functions as F
+
+    repeated = lambda: g.seq(g.token("t"), g.zero_or_more(g.one_of("123").as_("d")))
+    nested = g.late_bound()
+    nested.bind(g.seq(g.token("("), g.optional(g.choice(nested, g.scan_while(Ascii.LETTERS).as_("word"))), g.token(")")))
+    df = spark.createDataFrame([(0, "t12"), (1, "t"), (2, "x"), (3, None), (4, "((ab))"), (5, "a(b)((c))(")], "id long, t string")
+    got = {r.id: r for r in df.select("id", parsing.extract("t", repeated(), ("d",)).alias("e"), parsing.extract("t", nested, ("word",)).alias("w")).collect()}
+    assert [None if got[k].e is None else got[k].e.d for k in range(4)] == ["1", None, None, None] and got[1].e is not None and got[2].e is None
+    assert got[4].w.word == "ab" and got[5].w is None
+    found = {r.id: r for r in df.select("id", parsing.extract_all("t", nested).alias("a"), parsing.extract_all("t", nested, "word").alias("w"), parsing.count_matches("t", nested).alias("n"), parsing.find_position("t", nested).alias("p"), parsing.replace_all("t", nested, "$1\\").alias("r")).collect()}
+    assert found[5].a == ["(b)", "((c))"] and found[5].w == ["b", "c"] and found[5].n == 2 and found[5].p == 2 and found[5].r == "a$1\\$1\\("
+    assert found[2].n == 0 and found[2].p == 0 and found[2].r == "x" and found[3].a is None
+    texts = ["aab", "", "b", "aXa", "éa", "éa"]
+    for rule in (lambda: g.scan_while("a", 0), lambda: g.seq(g.token("a"), g.optional(g.token("b"))), lambda: g.none_of("b")):
+        made = rule().compile()
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        for r in df.select("t", parsing.extract_all("t", made).alias("a"), parsing.count_matches("t", made).alias("n"), parsing.replace_all("t", made, "a$b").alias("r")).collect():
+            machine = [r.t[a:b] for a, b, _ in vm.search(vm.Program(made), r.t)]
+            assert r.a == machine and r.n == len(machine) and (r.r.count("$") == len(machine)), (r.t, machine)
+    empty = spark.createDataFrame([("a:",), ("a:b",)], "t string").select(parsing.extract("t", g.seq(g.literal("a:"), g.scan_until_eof().as_("rest"))).alias("e"), parsing.parse("t", g.seq(g.literal("a:"), g.scan_until_eof().as_("rest"))).alias("r"))
+    assert [(r.e.rest, r.r.nodes[0].text) for r in empty.collect()] == [("", ""), ("b", "b")]
+    assert F is not None
+
+
+def test_tiers_agree_on_the_golden_cases(spark):
+    """``matches`` is ``parse`` on every golden case of the library, decomposed and other texts too."""
+    from glyphloom.plans import grammar_queries as q
+
+    for make, texts in [*library(), (lambda: g.literal("é"), ["é", "é", "e"]), (lambda: g.literal("K;"), ["K;", "K;", "k;"]), (lambda: g.scan_while("aK`"), ["aK", "aK`", "á"]), (lambda: g.seq(g.one_of(charset.letters()), g.eof()), ["Å", "Å", "Å", "가", "가", "1"])]:
+        rule = make().compile()
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        for r in df.select("t", parsing.matches("t", rule).alias("m"), parsing.parse("t", rule)["outcome"].alias("o")).collect():
+            assert r.m == (r.o == vm.SUCCESS), (rule.explain(), r.t)
+    assert len(q.QUERIES) > 50
+
+
+def test_literals_are_pushed_down(spark, tmp_path):
+    spark.createDataFrame([("red apple",), ("blue",)], "t string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda c: df.where(c)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(t,red )" in plan(parsing.matches("t", g.literal("red "), allow_trailing=True))
+    assert "StringStartsWith(t,r)" in plan(parsing.matches("t", g.seq(g.token("r"), g.scan_while(charset.letters())), allow_trailing=True))
+    assert "EqualTo(t,blue)" in plan(parsing.matches("t", g.seq(g.literal("blue"), g.eof())))
+    assert df.where(parsing.matches("t", g.literal("red "), allow_trailing=True)).count() == 1
