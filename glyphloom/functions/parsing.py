@@ -94,7 +94,7 @@ def extract(text: Column | str, grammar: Rule, names: tuple[str, ...] | None = N
             r = vm.parse(program, t, options)
             return {n: texts_of(r, n) for n in names} if r.success else None
 
-        return _machine(c, grammar, row, kind, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", allow_trailing=allow_trailing)
+        return by_machine(c, grammar, row, kind, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", allow_trailing=allow_trailing)
 
 
 def texts_of(result: vm.Result, name: str) -> str | None:
@@ -108,7 +108,7 @@ def texts_of(result: vm.Result, name: str) -> str | None:
     return None
 
 
-def _machine(c: Column, grammar: Rule, row, arrow: pa.DataType, kind: str, **options) -> Column:
+def by_machine(c: Column, grammar: Rule, row, arrow: pa.DataType, kind: str, **options) -> Column:
     """``row(program, text, options)`` of each text, null for null."""
     settings, program = vm.Options(**options), None
 
@@ -128,7 +128,7 @@ def _found(grammar: Rule, text: Column | str, use, names: tuple[str, ...], row,
     try:
         return _split(c, grammar, use, names, anchored=False)
     except (NotLowerable, KeyError):
-        return _machine(c, grammar, lambda program, t, options: row(t, list(vm.search(program, t, options))), arrow, kind)
+        return by_machine(c, grammar, lambda program, t, options: row(t, list(vm.search(program, t, options))), arrow, kind)
 
 
 def extract_all(text: Column | str, grammar: Rule, name: str | None = None) -> Column:

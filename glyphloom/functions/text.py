@@ -96,7 +96,8 @@ def position(text: Column | str, at: Column | int) -> Column:
     c = _col(text)
     at = F.lit(at) if isinstance(at, int) else at
     prefix = F.left(c, F.greatest(F.lit(0), F.least(at, F.char_length(c))))
-    line_text = F.regexp_extract(prefix, r"([^\n\x0B\f\r\x85\x{2028}\x{2029}]*+)\z", 1)
+    lines = F.split(prefix, LINE_END)
+    line_text = F.element_at(lines, -1)
     return F.struct(
-        utf16_length(prefix).alias("char_index"), grapheme_count(prefix).alias("token_index"), F.regexp_count(prefix, F.lit(LINE_END)).alias("line"), utf16_length(line_text).alias("char_column"), grapheme_count(line_text).alias("token_column")
+        utf16_length(prefix).alias("char_index"), grapheme_count(prefix).alias("token_index"), (F.size(lines) - 1).alias("line"), utf16_length(line_text).alias("char_column"), grapheme_count(line_text).alias("token_column")
     )

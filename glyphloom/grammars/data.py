@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from glyphloom.functions import parsing
 from glyphloom.operators import charset, vm
@@ -69,9 +70,27 @@ def json_python(n: vm.Node, text: str):
     return {"true": True, "false": False, "null": None}[text[n.start : n.end]]
 
 
+def _shallow_json(depth: int) -> str:
+    """JSON texts in ASCII of containers at most ``depth`` deep, without escapes, fractions or exponents, as a pattern."""
+    ws, string = r"[ \t\r\n]*+", r'"[ !#-\[\]-~]*+"'
+    value = rf"(?>{string}|(?!-0)-?(?>0|[1-9][0-9]{{0,14}}+)|true|false|null)"
+    for _ in range(depth):
+        member, comma = rf"{string}{ws}:{ws}{value}", f"{ws},{ws}"
+        value = rf"(?>{value}|\{{{ws}(?:{member}(?:{comma}{member})*+)?+{ws}\}}|\[{ws}(?:{value}(?:{comma}{value})*+)?+{ws}\])"
+    return rf"\A{ws}{value}{ws}\z"
+
+
 def json_value(text: Column | str) -> Column:
-    """The texts as variants; null where they are not JSON."""
-    return parsing.project(text, json_document(), lambda r: json_python(r.nodes[0], r.parsed), "variant")
+    """The texts as variants; null where they are not JSON.
+
+    Shallow texts that a pattern proves to be JSON go through the JVM's parser,
+    which gives them the same value; it rejects equal keys, so those and all other
+    texts go through the grammar.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    known = F.when(c.rlike(_shallow_json(2)), F.try_parse_json(c))
+    rest = F.when(known.isNull(), c)
+    return F.coalesce(known, parsing.project(rest, json_document(), lambda r: json_python(r.nodes[0], r.parsed), "variant"))
 
 
 def json_string() -> g.Rule:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,15 +81,54 @@ def cron_value(text: Column | str) -> Column:
     return F.when(ok, F.struct(*fields))
 
 
+def cron_problem(text: Column | str) -> Column:
+    """struct<char_index:int,message:string> of the first thing wrong with a schedule, by its place; null for good ones.
+
+    A malformed schedule has the parse's diagnostic; of a well-formed one each
+    number out of its field's range, falling range and step below 1 is a problem.
+    Good schedules are found in the JVM; only the others are parsed.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    kind = pa.struct([("char_index", pa.int32()), ("message", pa.string())])
+
+    def row(program: vm.Program, t: str, options: vm.Options) -> dict | None:
+        r = vm.parse(program, t, options)
+        if not r.success:
+            return {"char_index": r.position.char_index, "message": r.message}
+        found = [fault for n in r.nodes if n.rule.name in CRON for fault in cron_faults(n.rule.name, r.parsed[n.start : n.end], n.start)]
+        return dict(zip(("char_index", "message"), min(found, key=lambda f: f[0]), strict=True)) if found else None
+
+    return parsing.by_machine(F.when(cron_value(c).isNull(), c), cron().compile(), row, kind, "struct<char_index:int,message:string>")
+
+
+def cron_faults(name: str, field: str, at: int) -> Iterator[tuple[int, str]]:
+    """(place, what is wrong) of the items of a field that begins at a place, from left to right."""
+    low, high = CRON_BOUNDS[name]
+    for item in field.split(","):
+        span, _, step = item.partition("/")
+        first, _, last = span.partition("-")
+        wrong = False
+        for k, number in ((0, first), (len(first) + 1, last)):
+            if number not in ("", "*") and not low <= int(number) <= high:
+                wrong = True
+                yield at + k, f"{name} field value '{number}' is out of range ({low}-{high})"
+        if last and not wrong and int(first) > int(last):
+            yield at, f"{name} field range '{span}' is descending; the start must not be greater than the end"
+        if "/" in item and int(step) < 1:
+            yield at + len(span) + 1, f"{name} field step '{step}' must be 1 or greater"
+        at += len(item) + 1
+
+
 def _cron_check(low: int, high: int):
-    """Whether an item's numbers are in range and its range does not fall."""
+    """Whether an item's numbers are in range, its range does not fall and its step is 1 or more."""
 
     def inside(x: Column) -> Column:
         return F.coalesce(x.between(low, high), F.lit(False))
 
     def check(item: Column) -> Column:
         n = F.transform(F.regexp_extract_all(F.split_part(item, F.lit("/"), F.lit(1)), F.lit("([0-9]+)"), F.lit(1)), lambda x: x.try_cast("int"))
-        return F.forall(n, inside) & F.coalesce(F.get(n, F.lit(0)) <= F.get(n, F.lit(1)), F.lit(True))
+        step = ~F.contains(item, F.lit("/")) | F.coalesce(F.split_part(item, F.lit("/"), F.lit(2)).try_cast("int") >= 1, F.lit(False))
+        return F.forall(n, inside) & F.coalesce(F.get(n, F.lit(0)) <= F.get(n, F.lit(1)), F.lit(True)) & step
 
     return check
 

@@ -133,6 +133,66 @@ class Quick:
             return self._shape(rule) == FLATTEN
         return self._shape(rule) == FLATTEN and all(self._silent(c, seen) for c in rule.children)
 
+    def _fused(self, rule: Rule) -> tuple[str, list[tuple]] | None:
+        """(pattern, nodes it leaves) of a rule that one pattern with groups can do; a node is (rule, whether it goes by its code point, its nodes or None)."""
+        pattern = self._pattern(rule)
+        if pattern is None:
+            return None
+        if self._silent(rule):
+            return f"(?>{pattern})", []
+        k = rule.kind
+        if k in LEAVES:
+            return f"({pattern})", [(rule, k in ("one_of", "none_of", "any") and rule.name is None and not rule._explicit_id, None)]
+        if k == "late":
+            return self._fused(rule.target())
+        if k == "alias":
+            if rule.name is None and not rule._explicit_id and rule._flatten == FLATTEN:
+                return self._fused(rule.children[0])
+            return (f"({pattern})", [(rule, False, None)]) if rule.emits_leaf else None
+        if k not in ("seq", "choice", "repeat") or k == "repeat" and rule.args["most"] != 1:
+            return None
+        parts = [self._fused(c) for c in rule.children]
+        if None in parts:
+            return None
+        nodes = [n for _, own in parts for n in own]
+        text = ("|" if k == "choice" else "").join(p for p, _ in parts)
+        text = f"(?>{text})" if k != "repeat" else f"(?:{text})?+" if rule.args["least"] == 0 else text
+        return (f"({text})", [(rule, False, nodes)]) if self._shape(rule) == PRESERVE else (text, nodes)
+
+    @staticmethod
+    def _grouped(pattern: str, nodes: list[tuple]) -> Callable:
+        """A step that matches a fused pattern and makes its nodes."""
+        from glyphloom.operators.vm import Node
+
+        number = iter(range(1, 1 << 30))  # groups open in the order of the nodes
+
+        def numbered(some: list[tuple]) -> list[tuple]:
+            return [(rule, rune, next(number), None if own is None else numbered(own)) for rule, rune, own in some]
+
+        match, plan = re.compile(pattern).match, numbered(nodes)
+
+        def make(m: re.Match, text: str, some: list[tuple], out: list) -> None:
+            for rule, rune, group, own in some:
+                a, b = m.span(group)
+                if a < 0:
+                    continue
+                if own is None:
+                    out.append(Node(rule, ord(text[a]) if rune else rule.id, a, b, None))
+                else:
+                    below: list = []
+                    make(m, text, own, below)
+                    out.append(Node(rule, rule.id, a, b, below))
+
+        def step(c, at: int, out: list | None) -> int:
+            m = match(c.text, at)
+            if m is None:
+                return -1
+            if out is not None:
+                make(m, c.text, plan, out)
+            return m.end()
+
+        return step
+
     # -- steps: (cursor, place, list for nodes or None) -> end of the match, or -1
     def _step(self, rule: Rule) -> Callable:
         if (known := self.steps.get(id(rule))) is not None:
@@ -175,6 +235,8 @@ class Quick:
                 return end
 
             return leaf
+        if (fused := self._fused(rule)) is not None:
+            return self._grouped(*fused)
         return getattr(self, f"_{rule.kind}")(rule)
 
     def _composite(self, rule: Rule, match: Callable) -> Callable:
@@ -198,18 +260,19 @@ class Quick:
         return step
 
     def _seq(self, rule: Rule) -> Callable:
-        steps, run = [], ""
-        for child in rule.children:
-            p = self._pattern(child)
-            if p is not None and self._silent(child):
-                run += f"(?>{p})"
+        steps, run = [], []
+        # children side by side that patterns can do are one pattern
+        for child in [*rule.children, None]:
+            if child is not None and (fused := self._fused(child)) is not None:
+                run.append(fused)
                 continue
             if run:
-                steps.append(self._compiled(run))
-                run = ""
-            steps.append(self._step(child))
-        if run:
-            steps.append(self._compiled(run))
+                nodes = [n for _, own in run for n in own]
+                text = "".join(p for p, _ in run)
+                steps.append(self._grouped(text, nodes) if nodes else self._compiled(text))
+                run = []
+            if child is not None:
+                steps.append(self._step(child))
 
         def match(c, at: int, out: list | None) -> int:
             n = 0 if out is None else len(out)
@@ -223,11 +286,51 @@ class Quick:
 
         return self._composite(rule, match)
 
+    def _first(self, rule: Rule, seen: frozenset = frozenset()) -> TokenSet | None:
+        """The code points a match can begin with; None if that is not known or the match can be empty."""
+        k, a = rule.kind, rule.args
+        if id(rule) in seen or nullable(rule):
+            return None
+        seen = seen | {id(rule)}
+        if k in ("literal", "token"):
+            return TokenSet.single(a["text"][0])
+        if k == "literal_ci":
+            return TokenSet([(ord(c), ord(c)) for c in {a["text"][0].lower(), a["text"][0].upper()}])
+        if k in ("one_of", "scan_while"):
+            return a["set"]
+        if k == "identifier":
+            return a["start"]
+        if k in ("alias", "late"):
+            return self._first(rule.children[0], seen)
+        if k == "repeat":
+            return self._first(rule.children[0], seen)
+        if k == "choice":
+            parts = [self._first(c, seen) for c in rule.children]
+            return None if None in parts else TokenSet([span for p in parts for span in p.spans])
+        if k == "seq":
+            spans: list[tuple[int, int]] = []
+            for c in rule.children:
+                if c.kind in ("not", "peek"):
+                    continue
+                if not nullable(c):
+                    part = self._first(c, seen)
+                    return None if part is None else TokenSet([*spans, *part.spans])
+                if c.kind != "repeat" or (part := self._first(c.children[0], seen)) is None:
+                    return None
+                spans += part.spans
+        return None
+
     def _choice(self, rule: Rule) -> Callable:
-        steps = [self._step(x) for x in rule.children]
+        steps = [(self._step(x), self._first(x)) for x in rule.children]
+        # the alternatives worth a try, by the next character
+        known: dict[str, list[Callable]] = {"": [step for step, first in steps if first is None]}
 
         def match(c, at: int, out: list | None) -> int:
-            for step in steps:
+            char = c.text[at : at + 1]
+            tries = known.get(char)
+            if tries is None:
+                tries = known[char] = [step for step, first in steps if first is None or first.has(ord(char))]
+            for step in tries:
                 end = step(c, at, out)
                 if end >= 0:
                     return end

@@ -170,10 +170,11 @@ def find_position(spark, sf_dir):
 @query("""
 SELECT doc_id, CAST(length(p) AS BIGINT) AS char_index, CAST(length_grapheme(p) AS BIGINT) AS token_index, CAST(length(p) - length(replace(p, chr(10), '')) AS BIGINT) AS line,
        CAST(length(regexp_extract(p, '([^\n]*)$', 1)) AS BIGINT) AS char_column
-FROM (SELECT doc_id, left(text, 200) AS p FROM documents)
+FROM (SELECT doc_id, text AS p FROM documents)
 """)
 def source_position(spark, sf_dir):
-    p = text.position("text", 200)
+    """The place of the end of each whole text, in all units."""
+    p = text.position("text", F.char_length("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", *[p[c].cast("long").alias(c) for c in ("char_index", "token_index", "line", "char_column")])
 
 
@@ -231,12 +232,12 @@ def node_table(spark, sf_dir):
 
 
 def queries() -> dict:
-    from glyphloom.plans import grammar_queries
+    from glyphloom.plans import grammar_queries, rule_queries
 
-    return QUERIES | grammar_queries.QUERIES
+    return QUERIES | grammar_queries.QUERIES | rule_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from glyphloom.plans import grammar_queries
+    from glyphloom.plans import grammar_queries, rule_queries
 
-    return ORACLES | grammar_queries.ORACLES
+    return ORACLES | grammar_queries.ORACLES | rule_queries.ORACLES
