@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
 return the columns of ``documents``; what a stage rejects does not reach the next.
+
+Defined results: an empty table gives an empty table.  Rows without text, and of
+texts without letters, go at language ID.  Rows without doc_id are judged by
+their text like any other, but are no one's near copies and stay when the near
+copies go.  Repeated rows: line dedup lets both be, the n-gram join keeps one.
+Ties: the least doc_id stays.  Very long texts are read whole.  Further columns
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,9 +52,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or an edited copy of one, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    row = F.xxhash64("doc_id", "text")
-    bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("row")).distinct()
-    return docs.withColumn("row", row).join(bad, "row", "left_anti").select(docs.columns)
+    # rows are told apart by a hash, under a name that no column has
+    row, name = F.xxhash64("doc_id", "text"), "row"
+    while name in docs.columns:
+        name += "_"
+    bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, row).join(bad, name, "left_anti").select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
