@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from glyphloom.llm import embedding_dedup as emb
 from glyphloom.llm import html_extraction as htm
@@ -60,6 +61,35 @@ def test_estimate_is_unbiased_and_bounded():
     assert abs(error.mean()) < 0.002 and (np.abs(error) <= wide[:, None]).mean() > 0.9995
 
 
+def test_rounded_codes_bound_the_cosine():
+    """No pair at the threshold is left out by the bounds of stored codes; most pairs far from it are."""
+    rng = np.random.default_rng(3)
+    dim, n = 64, 600
+    x = emb.unit(rng.standard_normal((n, dim)))
+    y = emb.unit(x + rng.standard_normal((n, dim)) * 0.04)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n)), pa.array([1] * 2 * n), pa.array([v.tobytes() for v in np.vstack([x, y])], pa.binary())], names=["cid", "m", "vec"])
+    [rows] = emb._codes(8, 4)([batch])
+    code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(2 * n, -1), axis=1)[:, :dim] * 2.0 - 1
+    q = np.frombuffer(b"".join(rows.column("rounded").to_pylist()), np.int8).reshape(2 * n, dim) * rows.column("scale").to_numpy()[:, None]
+    assert np.allclose(q @ emb.rotations(dim, 1)[0], np.vstack([x, y]), atol=0.01) and (rows.column("lost").to_numpy() < 0.02).all()
+    may = emb.possible(code / math.sqrt(dim), rows.column("f").to_numpy(), q, rows.column("lost").to_numpy(), 0.95, emb.SIGMAS)
+    cosine = np.vstack([x, y]) @ np.vstack([x, y]).T
+    assert may[cosine >= 0.95].mean() > 0.999 and may[cosine < 0.3].mean() < 0.05 and (cosine >= 0.95).sum() > 2 * n
+
+
+def test_embedding_recall_on_many_links(spark):
+    """Measured against brute force: at the threshold itself nearly all links are found, none below it."""
+    rng = np.random.default_rng(6)
+    base = emb.unit(rng.standard_normal((300, 32)))
+    near = np.vstack([emb.unit(base + rng.standard_normal((300, 32)) * s) for s in (0.03, 0.05, 0.06)])
+    x = emb.unit(np.vstack([base, near]))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in emb.embedding_dedup(df).collect()}
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.999 * want.sum() and want.sum() > 1000
+
+
 def test_embeddings_empty(spark):
     assert emb.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
