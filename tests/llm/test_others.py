@@ -111,6 +111,18 @@ def test_components(spark):
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_staged_tables_are_cleared(spark, tmp_path):
+    import os
+
+    from glyphloom.llm import _stage
+
+    work = Workspace(spark, "cleared")
+    kept = work.keep(spark.range(10), "ten")
+    folder = kept._staged.removeprefix("file:")
+    assert kept.count() == 10 and os.path.isdir(folder)
+    assert _stage.clear(spark) > 0 and not os.path.exists(folder) and _stage.clear(spark) == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var x="</p><article>no</article>";</script></head>
 <body class="page"><header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad banner">Buy</div>
 <div id="cookie-notice">We use cookies</div><!-- <article>hidden</article> --><article class="post"><header><h1>Head&shy;line &#8212; one</h1></header><p>First <b>bold</b>ly
@@ -182,6 +194,32 @@ def test_html_templates(spark):
     assert htm.extract(df.limit(0)).count() == 0
 
 
+def test_template_classes_by_brute_force(spark):
+    """Classes are the valid tokens with equal occurrence vectors under one element, counted page by page."""
+    rng = np.random.default_rng(12)
+    story = lambda: " ".join(f"w{rng.integers(0, 9000)}" for _ in range(40))
+    pages = []
+    for k in range(24):
+        extra = "<div class='x'><p>On some pages</p><i>x</i></div>" if k % 2 else ""
+        lists = "".join(f"<li>{story()[:9]}</li>" for _ in range(int(rng.integers(1, 4))))
+        pages.append((k, f"http://h{k % 2}.example/{k}", f"<html><body><div class='top'>Welcome</div>{extra}<ul>{lists}</ul><article><p>{story()}</p><p>Read on</p></article></body></html>"))
+    got = {(r.host, frozenset(r.tokens)): frozenset(r.blocks) for r in htm.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want, signed = {}, lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    for host in ("h0.example", "h1.example"):
+        own = [htm.page_tokens(*htm.parse(h)) for _, u, h in pages if host in u]
+        vectors = {t: tuple(p[t][0] if t in p else 0 for p in own) for p in own for t in p}
+        about = {t: p[t][1:] for p in own for t in p}
+        classes: dict = {}
+        for t, v in vectors.items():
+            around, block = about[t]
+            room = sum(x > 0 for x in vectors[around]) if around else len(own)
+            if room >= htm.PAGES and sum(x > 0 for x in v) >= htm.SUPPORT * room:
+                classes.setdefault((v, vectors[around] if around else None), []).append((t, block))
+        for some in classes.values():
+            want[(host, frozenset(signed(t) for t, _ in some))] = frozenset(signed(t) for t, block in some if block)
+    assert got == want and sum(map(bool, want.values())) >= 3
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
 

@@ -272,13 +272,40 @@ def test_language_id(spark, docs):
     assert [got[i].lang_pred for i in (101, 102, 103, None)] == ["und", "und", "und", "en"] and got[101].score == 0.0
     short = spark.createDataFrame([(0, "the a", "en"), (1, "der I", "de"), (2, "a", None), (3, "I 5", None), (5, "é", None), (7, "5 5", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in language_id.identify(short, language_id.train(short)).collect() if r.lang_pred == "und"} == {7}
-    many = [(i, f"w{i % 40}x und so z{i % 40} weiter q{i % 40}", f"l{i % 40:02}") for i in range(400)]
+    many = [(i, " ".join(f"{a}{chr(97 + i % 40 // 26)}{chr(97 + i % 40 % 26)}{a}" for a in "wxyz"), f"l{i % 40:02}") for i in range(400)]
     pred = language_id.identify(*(lambda d: (d, language_id.train(d)))(spark.createDataFrame(many, "doc_id long, text string, lang string"))).collect()
     assert {r.lang_pred for r in pred} == {f"l{k:02}" for k in range(40)}  # every label is learned
     assert got[5].held_out == (zlib.crc32(b"5") % 5 == 0) and got[None].held_out is None
     assert language_id.language_id(docs).count() == docs.count()
 
 
+def test_language_mixture_by_brute_force():
+    """EM finds the shares that a grid finds; the chosen set is the best of all sets of up to three."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    models = rng.dirichlet(np.full(200, 0.05), 4).T + 1e-4
+    models /= models.sum(axis=0)
+    best = 0
+    for trial in range(12):
+        shares = np.zeros(4)
+        shares[rng.permutation(4)[: 1 + trial % 3]] = rng.dirichlet(np.full(1 + trial % 3, 5.0))
+        count = rng.multinomial(3000, models @ shares).astype(float)
+        logs, used = np.log(models[count > 0]), count[count > 0]
+        if trial % 3 == 1:
+            pair = np.flatnonzero(shares)
+            like = np.exp(logs[:, pair])
+            grid = np.linspace(0.001, 0.999, 999)
+            at = grid[np.argmax([used @ np.log(like @ np.array([x, 1 - x])) for x in grid])]
+            assert abs(language_id._em(like, used, rounds=200)[0][0] - at) < 0.01
+        cost = language_id.PENALTY * 0.5 * np.log(used.sum() / 4)
+        scores = {c: language_id._em(np.exp(logs[:, list(c)]), used, rounds=200)[1] / 4 - cost * (len(c) - 1) for n in (1, 2, 3) for c in combinations(range(4), n)}
+        cols, pi = language_id.mixture(logs, used)
+        best += tuple(sorted(cols.tolist())) == max(scores, key=scores.get)
+        assert np.isclose(pi.sum(), 1, atol=1e-6)
+    assert best >= 11
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -468,6 +495,30 @@ def test_alignment_is_smith_waterman():
         assert score == h.max() and 0 <= begin <= end <= 15 and same <= 8
 
 
+def test_very_long_texts(spark):
+    """Texts of 3 MB go through every operator whole, beside a copy of theirs."""
+    import time
+
+    rng = np.random.default_rng(2)
+    text = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 30000, 50)) for _ in range(10000))
+    rows = [(1, text, "en"), (2, text + "\nand an end of its own", "en"), (3, "short", "de"), (4, "x" * 3_000_000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = len(text.split())
+    began = time.time()
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df, batches=2).collect()} == {1: 0, 2: words, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = {r.doc_id: (r.n_removed, r.run_depth, r.longest_run) for r in line_dedup.line_dedup(df).select("doc_id", "n_removed", "run_depth", "longest_run").collect()}
+    assert got == {1: (0, 0, 0), 2: (10000, 8192, 10000), 3: (0, 0, 0), 4: (0, 0, 0)}
+    assert {r.doc_id: r.n_tokens for r in hmm_lm.hmm_scores(df, rounds=1).collect()} == {1: words + 1, 2: words + 7, 3: 2, 4: 2}
+    assert language_id.language_id(df).where("lang_pred <> 'und'").count() == 4
+    assert {r.doc_id: r.n for r in token_counts.by_lines(df).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == {1: 10000, 2: 10001, 3: 1, 4: 1}
+    bench = spark.createDataFrame([(7, " ".join(text.split()[2000:2030]))], "item_id long, text string")
+    assert sorted(r.doc_id for r in dec.contaminated(df, bench).collect()) == [1, 2]
+    pieces = packing.pack(df.where("doc_id < 4")).collect()
+    assert all(r.length <= 4096 for r in pieces) and len(pieces) > 100
+    assert time.time() - began < 400
+
+
 def test_empty_tables(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert ngram_jaccard.jaccard_join(empty).count() == 0
