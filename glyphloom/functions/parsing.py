@@ -78,7 +78,7 @@ def matches(text: Column | str, grammar: Rule, allow_trailing: bool = False, nor
 
 
 def extract(text: Column | str, grammar: Rule, names: tuple[str, ...] | None = None, allow_trailing: bool = False, normalize: bool = True) -> Column:
-    """A struct of the texts of the named rules, null if the text is rejected; a name that took no part is null, and of several matches the first counts."""
+    """A struct of the texts that the named rules span, null if the text is rejected; a name that took no part is null, and of several matches the first counts."""
     grammar, c = _ready(grammar), _col(text)
     names = tuple(names or grammar.names())
     try:
@@ -92,18 +92,18 @@ def extract(text: Column | str, grammar: Rule, names: tuple[str, ...] | None = N
 
         def row(program: vm.Program, t: str, options: vm.Options) -> dict | None:
             r = vm.parse(program, t, options)
-            return {n: texts_of(r, n) for n in names} if r.success else None
+            return {n: text_spanned(r, n) for n in names} if r.success else None
 
         return by_machine(c, grammar, row, kind, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", allow_trailing=allow_trailing)
 
 
-def texts_of(result: vm.Result, name: str) -> str | None:
-    """The text of the leaves in the first node with a name, in pre-order; None if there is none."""
+def text_spanned(result: vm.Result, name: str) -> str | None:
+    """The text that the first node with a name spans, in pre-order; None if there is none."""
     stack = result.nodes[::-1]
     while stack:
         n = stack.pop()
         if n.rule.name == name:
-            return "".join(result.parsed[x.start : x.end] for x in vm.leaves(n))
+            return result.parsed[n.start : n.end]
         stack += (n.children or ())[::-1]
     return None
 
@@ -132,9 +132,9 @@ def _found(grammar: Rule, text: Column | str, use, names: tuple[str, ...], row,
 
 
 def extract_all(text: Column | str, grammar: Rule, name: str | None = None) -> Column:
-    """The texts of all matches found from left to right, or of one named rule in each ('' where it took no part)."""
+    """The texts of all matches found from left to right, or what one named rule spans in each ('' where it took no part)."""
     use = lambda x, low: F.regexp_extract_all(x, F.lit(low.pattern), F.lit(low.groups[name] if name else 0))
-    row = lambda t, found: [(texts_of(r, name) or "") if name else t[a:b] for a, b, r in found]
+    row = lambda t, found: [(text_spanned(r, name) or "") if name else t[a:b] for a, b, r in found]
     return _found(grammar, text, use, (name,) if name else (), row, pa.list_(pa.string()), "array<string>")
 
 

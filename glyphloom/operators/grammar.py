@@ -265,6 +265,8 @@ def _number(rules: list[Rule]) -> None:
 def _normalize(rules: list[Rule], form: str) -> None:
     bad: list[str] = []
     for r in rules:
+        if r.kind == "custom" and (hook := r.args.get("normalize")):
+            bad += hook(form) or []
         for key, value in r.args.items():
             if key in ("text", "escape") and isinstance(value, str) and r.kind != "literal_ci":
                 new = unicodedata.normalize(form, value)
@@ -426,9 +428,29 @@ def late_bound() -> Rule:
     return Rule("late")
 
 
-def custom(match: Callable, *children: Rule, validate: Callable | None = None, regex: str | None = None) -> Rule:
-    """A rule of one's own: ``match(cursor, children)`` returns the end of the match or None (see ``vm.Cursor``)."""
-    return Rule("custom", children, match=match, validate=validate, regex=regex)
+def custom(match: Callable, *children: Rule, validate: Callable | None = None, regex: str | None = None, normalize: Callable | None = None) -> Rule:
+    """A rule of one's own: ``match(cursor, at, children)`` returns the end of the match or None.
+
+    ``cursor`` is a ``vm.Cursor`` (text, tokens); ``children`` are ``vm.Child``
+    callables, which can be tried anywhere, probed, and rolled back.  When the
+    grammar is compiled, ``validate(rule)`` may raise, and ``normalize(form)``
+    turns the rule's own texts to a form and names those it cannot.
+    """
+    return Rule("custom", children, match=match, validate=validate, regex=regex, normalize=normalize)
+
+
+def longest(*rules: Rule) -> Rule:
+    """The alternative with the longest match, the first of equals."""
+
+    def match(cursor, at: int, children) -> int | None:
+        ends = [c.probe(at) for c in children]
+        if max(ends) < 0:
+            for c in children:  # for their failures
+                c(at)
+            return None
+        return children[ends.index(max(ends))](at)
+
+    return custom(match, *rules)
 
 
 # -- convenience rules

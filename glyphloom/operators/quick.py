@@ -414,11 +414,13 @@ class Quick:
         return step
 
     def _custom(self, rule: Rule) -> Callable:
+        from glyphloom.operators.vm import Children
+
         children, own = [self._step(x) for x in rule.children], rule.args["match"]
 
         def match(c, at: int, out: list | None) -> int:
             n = 0 if out is None else len(out)
-            end = own(c, at, [lambda p, s=s: s(c, p, out) for s in children])
+            end = own(c, at, Children(c, children, out))
             if end is None or end < 0:
                 if out is not None and len(out) > n:
                     del out[n:]

@@ -60,26 +60,37 @@ def print_tree(nodes: Column) -> Column:
     return F.array_join(F.transform(nodes, lambda n: F.concat(F.repeat(F.lit("  "), n["depth"]), n["name"], F.when(n["is_leaf"], F.concat(F.lit(': "'), n["text"], F.lit('"'))).otherwise(""))), "\n")
 
 
+def debug_tree(nodes: Column) -> Column:
+    """An indented dump with ids and spans, deleted and flattened rules marked."""
+    mark = lambda n: F.when(n["flatten"] == "preserve", "").otherwise(F.concat(F.lit(" "), n["flatten"]))
+    line = lambda n: F.concat(
+        F.repeat(F.lit("  "), n["depth"]), n["name"], F.lit("#"), n["symbol_id"].cast("string"), F.lit(" ["), n["start"].cast("string"), F.lit(", "), n["end"].cast("string"), F.lit(")"), mark(n),
+        F.when(n["is_leaf"], F.concat(F.lit(' "'), n["text"], F.lit('"'))).otherwise(""),
+    )
+    return F.array_join(F.transform(nodes, line), "\n")
+
+
 def flattened(nodes: Column) -> Column:
     """A raw tree with its rules' shapes applied: deleted subtrees go, children of flattened nodes move up.
 
     parent_id of a kept node becomes its nearest kept ancestor; ids stay those of
-    the raw tree, so intervals still hold.
+    the raw tree, so intervals still hold.  One pass in pre-order, with the kept
+    ancestors of the place it is at.
     """
-    gone = F.filter(nodes, lambda n: n["flatten"] == "delete")
-    alive = F.filter(nodes, lambda n: ~F.exists(gone, lambda g: (n["node_id"] >= g["node_id"]) & (n["node_id"] < g["subtree_end"])))
-    kept = F.filter(alive, lambda n: (n["flatten"] == "preserve") | n["is_leaf"])
-
-    def parent(n: Column) -> Column:
-        above = F.filter(kept, lambda a: (a["node_id"] < n["node_id"]) & (n["node_id"] < a["subtree_end"]))
-        return F.coalesce(F.element_at(F.transform(above, lambda a: a["node_id"]), -1), F.lit(-1))
-
-    return F.transform(kept, lambda n: n.withField("parent_id", F.when(F.size(above_of(kept, n)) > 0, parent(n)).otherwise(F.lit(-1))))
-
-
-def above_of(nodes: Column, n: Column) -> Column:
-    """The ancestors of a node, outermost first."""
-    return F.filter(nodes, lambda a: (a["node_id"] < n["node_id"]) & (n["node_id"] < a["subtree_end"]))
+    none = F.filter(nodes, lambda n: F.lit(False))
+    ancestor = lambda n: F.struct(n["node_id"].alias("id"), n["subtree_end"].alias("end"))
+
+    def step(at: Column, n: Column) -> Column:
+        dead, delete = n["node_id"] < at["gone"], n["flatten"] == "delete"
+        keep = ~dead & ~delete & ((n["flatten"] == "preserve") | n["is_leaf"])
+        above = F.filter(at["above"], lambda a: a["end"] > n["node_id"])
+        own = n.withField("parent_id", F.coalesce(F.get(above, F.size(above) - 1)["id"], F.lit(-1)))
+        return F.struct(
+            F.when(keep, F.array_append(at["kept"], own)).otherwise(at["kept"]).alias("kept"), F.when(keep, F.array_append(above, ancestor(n))).otherwise(above).alias("above"),
+            F.when(~dead & delete, n["subtree_end"]).otherwise(at["gone"]).alias("gone"),
+        )
+
+    return F.aggregate(nodes, F.struct(none.alias("kept"), F.transform(none, ancestor).alias("above"), F.lit(0).alias("gone")), step, lambda at: at["kept"])
 
 
 def node_table(df: DataFrame, key: str | list[str], nodes: Column) -> DataFrame:

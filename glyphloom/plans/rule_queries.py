@@ -240,6 +240,23 @@ def tree_queries(spark, sf_dir):
     )
 
 
+@query("""
+SELECT n_nationkey, 'name#2097153 [0, ' || length(n_name) || ')' || chr(10) || '  word#2097154 [0, 6) "NATION"' || chr(10) || '  number#2097155 [7, ' || length(n_name) || ') "' || substr(n_name, 8) || '"' AS dump FROM nation
+""")
+def tree_dump(spark, sf_dir):
+    """A tree with its ids and spans."""
+    rule = g.seq(g.alias(g.literal("NATION")).as_("word").as_(0x200002), g.token("_"), g.scan_while(charset.Ascii.DIGITS).as_("number").as_(0x200003)).as_("name").as_(0x200001)
+    return _t(spark, sf_dir, "nation").select("n_nationkey", tree.debug_tree(parsing.parse("n_name", rule)["nodes"]).alias("dump"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, '^(?:[a-z]+ )*[a-z]+') AS taken FROM part")
+def longest_match(spark, sf_dir):
+    """A rule of one's own, which probes its alternatives and takes the longest."""
+    word = lambda: g.scan_while(TokenSet.range("a", "z"))
+    rule = g.alias(g.longest(word(), g.seq(word(), g.zero_or_more(g.seq(g.token(" "), word()))), g.literal("red"))).as_("taken")
+    return _t(spark, sf_dir, "part").select("p_partkey", parsing.extract("p_name", rule, allow_trailing=True)["taken"].alias("taken"))
+
+
 @query("""
 SELECT props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2
 """)

@@ -342,3 +342,26 @@ def test_literals_are_pushed_down(spark, tmp_path):
     assert "StringStartsWith(t,r)" in plan(parsing.matches("t", g.seq(g.token("r"), g.scan_while(charset.letters())), allow_trailing=True))
     assert "EqualTo(t,blue)" in plan(parsing.matches("t", g.seq(g.literal("blue"), g.eof())))
     assert df.where(parsing.matches("t", g.literal("red "), allow_trailing=True)).count() == 1
+
+
+def test_custom_rules_probe_and_roll_back():
+    """A part can be probed without a trace, its nodes taken back, and a rule's own texts normalized."""
+    word = g.scan_while(Ascii.LETTERS).as_("word")
+    seen = []
+
+    def twice(cursor, at, children):
+        mark = children.mark()
+        assert children[0].probe(at) == children[0](at)
+        children.rollback(mark)
+        seen.append((cursor.token(at), cursor.token_length(cursor.size)))
+        return children[0](at)
+
+    r = run(g.custom(twice, word), "ab")
+    assert r.success and shape(r) == [("word", "ab", None)] and seen[0] == ("a", 0)
+    assert shape(run(g.longest(g.literal("a").preserve(), g.literal("ab").preserve()), "ab")) == [("literal", "ab", None)]
+    assert run(g.longest(g.literal("ax"), g.literal("abx")), "abz").at == 2
+    forms = []
+    g.custom(twice, g.scan_while("a"), normalize=lambda form: forms.append(form)).compile("NFC")
+    assert forms == ["NFC"]
+    with pytest.raises(g.GrammarError):
+        g.custom(twice, g.scan_while("a"), normalize=lambda form: ["one of mine"]).compile("NFC")
