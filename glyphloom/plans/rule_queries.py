@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -342,6 +343,22 @@ def time_windows(spark, sf_dir):
     return rows.groupBy(F.date_format("w", "yyyy-MM-dd").alias("week"), "quarter").agg(F.count("*").alias("n"))
 
 
+@query("""
+SELECT event_type, strftime(time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS week, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2
+""")
+def stream_windows(spark, sf_dir):
+    """The events as a stream, in one go: parsed, watermarked and summed by tumbling windows; the sums are the sink's rows."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    events = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").select("event_type", "ts", data.json_value("props").alias("v"))
+    events = events.select("event_type", F.window("ts", "7 days")["start"].alias("w"), F.expr("variant_get(v, '$.k', 'bigint')").alias("k"))
+    sums = events.groupBy("event_type", F.date_format("w", "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+    name = f"stream_windows_{uuid.uuid4().hex}"
+    run = sums.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
 @query("""SELECT event_type, median(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS middle, CAST(count(DISTINCT json_extract_string(props, '$.k')) AS BIGINT) AS kinds FROM events GROUP BY 1""")
 def quantiles(spark, sf_dir):
     """Exact quantiles and distinct counts of a parsed column."""
