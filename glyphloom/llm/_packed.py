@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm._kernels import tidy
 
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 SCHEMA = "part int, kind int, seq long, keys binary, docs binary"
 
 

@@ -3,6 +3,11 @@
 A staged table cuts the lineage: a lost executor costs only the tasks since the
 last one.  The folder is the session's ``spark.checkpoint.dir``.  Where it is
 unset a local session gets a temporary folder of its own, a cluster an error.
+
+Tables that a returned DataFrame still reads stay until ``clear``, which deletes
+all that this process staged.  While a table is written, a setting of the session
+makes Spark remove the shuffle files behind it; run queries that stage tables at
+the same time in sessions of their own (``spark.newSession()``).
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_made: list[str] = []
+ROWS_A_FILE = 20_000
+LEAST_FILES = 12
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes every table staged by this process, once no DataFrame that came of them is read any more; returns the number of workspaces."""
+    made = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return made
+
+
 class Workspace:
     """Named Parquet tables of one operator run, each written once and read back."""
 
@@ -38,9 +59,14 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        _made.append(self.path)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes the rows and reads them back; where about ``rows`` are known to come, in no more files than they need."""
         self._count += 1
+        if rows is not None:
+            few, parts = max(LEAST_FILES, -(-rows // ROWS_A_FILE)), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(few) if few < parts else df
         path = f"{self.path}/{self._count:03d}-{name}"
         # The shuffle files of a write that has ended are of no more use: without
         # this they stay until the driver happens to collect its garbage.
@@ -59,11 +85,9 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes staged tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
             if path := getattr(t, "_staged", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
 def _stats(edges: DataFrame) -> tuple:
@@ -71,26 +95,27 @@ def _stats(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the links (a, b); component is the least node reachable.
+def components(edges: DataFrame, work: Workspace, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
+    """(node, component) for every node of the links (a, b), about ``rows`` of them if that is known; component is the least node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the
     links are stars.  Each step is one partial aggregation and one sort-merge
     join, which skew handling may split; nothing goes to the driver but sums.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = work.keep(edges, "links")
+    edges = work.keep(edges, "links", rows)
     before = _stats(edges)
     for _ in range(most_rounds):
-        if before[0] == 0:
+        rows = before[0]
+        if rows == 0:
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = work.keep(large, "large")
+        large = work.keep(large, "large", rows)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after_edges = work.keep(small, "small")
+        after_edges = work.keep(small, "small", rows)
         work.drop(edges, large)
         edges, after = after_edges, _stats(after_edges)
         if after == before:

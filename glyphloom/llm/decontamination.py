@@ -15,14 +15,17 @@ A document and an item match if the best alignment reaches ``least`` of the
 item's full score, and has ``few`` equal words, or all of a shorter item's.
 
 The benchmark is read in slices of at most ``slice_grams`` grams (32 MB), each
-broadcast within that bound and followed by a pass, so it may have any size.  The
-pass is without shuffles of text; documents of a hot passage are aligned where
-they lie.
+broadcast within that bound and followed by a pass whose matches are written
+before the next slice is read, so it may have any size; a benchmark of one slice
+needs one pass and writes nothing.  The pass is without shuffles of text;
+documents of a hot passage are aligned where they lie.
 
 Defined results: null or empty text or item, or one without words: no match.
 Items of fewer than ``seed`` words: their whole word sequence is their seed.
 Null doc_id or item_id: matched like any other.  Repeated rows: a match each;
-repeated item_ids are one match each with the best of its rows.  Other columns
+repeated item_ids are one match each with the best of its rows.  Of equally good
+alignments (ties) one is reported.  Very long texts are searched whole.  An empty
+table of documents or items gives no match.  Other columns, whatever their names,
 are ignored.
 """
 
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.llm._kernels import _SPACE, Words, chunks, grams, tidy
+from glyphloom.llm._stage import Workspace
 
 SEED = 3
 LEAST = 0.5
@@ -41,7 +45,7 @@ FEW = 8
 MATCH, MISS = 2, -1
 SLICE_GRAMS = 1_000_000
 # Places of seeds that are laid out at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _NOT_WORD = np.ones(256, dtype=bool)
 _NOT_WORD[48:58] = _NOT_WORD[65:91] = _NOT_WORD[97:123] = _NOT_WORD[128:] = False
@@ -207,12 +211,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least:
     """doc_id, item_id, score, n_equal, word_start, word_stop of every matching document (doc_id, text) and item (item_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    done, last, work = [], None, None
     for items in _slices(benchmark, seed, slice_grams):
+        if last is not None:
+            work = work or Workspace(spark, "contaminated")
+            done.append(work.keep(last, "slice"))
         entry = np.argsort(items.gram, kind="stable")
         keys, first = np.unique(items.gram[entry], return_index=True)
-        found = docs.mapInArrow(tidy(_matches(items, keys, entry, np.append(first, len(entry)), least, few)), _SCHEMA)
-        out = found if out is None else out.union(found)
-    if out is None:
+        last = docs.mapInArrow(tidy(_matches(items, keys, entry, np.append(first, len(entry)), least, few)), _SCHEMA)
+    if last is None:
         return spark.createDataFrame([], _SCHEMA)
-    return out
+    for found in done:
+        last = last.union(found)
+    return last

@@ -28,7 +28,9 @@ Method (AdaptJoin; Wang, Li & Feng, SIGMOD 2012, spread over a cluster):
 Defined results: null or empty text, or text without words: empty set, linked
 with nothing, its own component.  Null ``doc_id``: its own component, null.
 Repeated rows: the same row again.  Rows that repeat a doc_id with other texts:
-their links are those of the doc_id.  Other columns are ignored.
+their links are those of the doc_id.  A similarity of exactly 0.75 (a tie) links.
+Very long texts are taken whole.  An empty table gives an empty table.  Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +58,9 @@ YIELD = 0.02
 # Documents of a block, and grams of a matrix, in the comparison of families.
 BLOCK = 256
 WIDE = 8192
+# Pairs whose sets are compared at once, and how many rows without texts one pair counts for in a task.
+SLICE = 512
+WEIGHT = 10
 
 
 def gram_sets(column: pa.Array, words: int = WORDS):
@@ -112,7 +117,8 @@ def _verifier(words: int, percent: int):
 
     def run(batches):
         kept: dict[int, np.ndarray] = {}
-        for batch in batches:
+        # a batch holds two texts a row: sets are made for a few rows at a time
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets = {}
             new = {}
@@ -311,30 +317,31 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     # Stars: each document with the pivot it shares most grams with, then, in groups
     # of heavy grams, with other pivots as long as that links components.
     texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").distinct(), "texts")
-    star = work.keep(_star(rows, sizes, percent, 0.0), "star")
-    links = work.keep(_verify(star, texts, words, percent), "star-links")
+    known_docs = sizes.count()
+    star = work.keep(_star(rows, sizes, percent, 0.0), "star", known_docs)
+    links = work.keep(_verify(star, texts, words, percent), "star-links", WEIGHT * known_docs)
     tried, linked = star, links
     # only documents with so many heavy grams can share enough of them with a pivot
     crowded = rows.where(F.col("cnt") > light).select("tok", "doc")
     able = crowded.groupBy("doc").agg(F.count("*").alias("k")).join(sizes.select("doc", "n"), "doc").where(F.col("k") >= SHARE * (100 - percent) / 100.0 * F.col("n")).select("doc")
     crowded = work.keep(crowded.join(able, "doc", "left_semi"), "crowded")
     for turn in range(1, TURNS + 1):
-        comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
-        about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about")
+        comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work, rows=known_docs), "star-components", known_docs)
+        about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about", known_docs)
         if turn == TURNS:
             break
         placed = crowded.join(about.select("doc", "comp"), "doc")
         pivots = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "comp")).alias("p")).where("lo <> hi")
         again = placed.join(pivots.select("tok", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "tok").where("comp <> pivot_comp")
-        star = work.keep(_star(again, sizes, percent, SHARE), "star")
+        star = work.keep(_star(again, sizes, percent, SHARE), "star", known_docs)
         count = star.count()
         if not count:
             break
-        links = work.keep(_verify(star, texts, words, percent), "star-links")
+        links = work.keep(_verify(star, texts, words, percent), "star-links", WEIGHT * count)
         tried, linked = tried.union(star), linked.union(links)
         if links.count() < YIELD * count:
-            comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work), "star-components")
-            about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about")
+            comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work, rows=known_docs), "star-components", known_docs)
+            about = work.keep(sizes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "last", F.coalesce("component", "doc").alias("comp")), "about", known_docs)
             break
 
     # Grams whose documents lie in different components.
@@ -351,7 +358,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     found = [_pairs(easy, percent)]
 
     # Documents with heavy grams: longer prefixes.  A gram is heavy here if more than REACH * light of these prefixes hold it.
-    wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy")
+    wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy", known_docs)
     grams_ = hard = None
     while wanted.limit(1).count():
         ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(tidy(_extend(words, percent)), "doc_id long, grams array<long>")
@@ -364,7 +371,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
         skip = extended.where(F.col("cnt") > REACH * light).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("tok").alias("skip"))
         sized = grams_.join(about.select(F.col("doc").alias("doc_id"), "n"), "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip")
         meta = work.keep(sized.mapInArrow(tidy(_resolve(percent)), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
-        wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open")
+        wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open", known_docs)
         if wanted.limit(1).count():
             work.drop(extended)
             continue
@@ -383,12 +390,36 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     more = _verify(candidates, texts, words, percent)
     if hard is not None:
         more = more.union(_families(hard, texts, parts, words, percent, work))
-    more = work.keep(more, "more-links")
+    more = work.keep(more, "more-links", WEIGHT * known_docs)
     work.drop(texts, mixed)
     both = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = work.keep(components(both, work), "components")
+    comp = work.keep(components(both, work, rows=known_docs), "components", known_docs)
 
     member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     return slim.join(member, ["n", "c1", "c2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), gram AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[k:k + {WORDS - 1}], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - {WORDS - 1}, 1))) AS k FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM gram GROUP BY 1
+), both_ AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM gram a JOIN gram b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM both_ JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)
+), reach AS (
+  SELECT x AS a, y AS b FROM link UNION SELECT y, x FROM link
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link) l ON reach.b = l.a
+), low AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY 1
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN low ON w.doc_id = low.a
+"""
