@@ -2,9 +2,9 @@
 
 Everything works on whole Arrow batches: the UTF-8 buffer of a string column is
 viewed as one ``uint8`` array, so no text is decoded and no Python object is
-made for a word.  Chunks bound the temporary arrays (about 100 bytes for each
+made for a word.  Chunks bound the temporary arrays (about 25 bytes for each
 byte of text in the chunk) whatever the batch holds; a single text is never cut,
-so a text of 100 MB needs some 10 GB for a moment, and one worker's memory must
+so a text of 100 MB needs some 3 GB for a moment, and one worker's memory must
 be chosen by the longest text.
 """
 
@@ -124,6 +124,17 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return mix(out)
 
 
+def grams_at(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """The same hash of the n words from each of the places ``at`` on."""
+    if 3 * len(at) > len(h):
+        return grams(h, n)[at]
+    with np.errstate(over="ignore"):
+        out = h[at] * _PLACES[0]
+        for i in range(1, n):
+            out += h[at + i] * _PLACES[i]
+        return mix(out)
+
+
 def as_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -74,6 +74,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from glyphloom.llm import line_dedup
-
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL}
+    from glyphloom.llm import embedding_dedup, line_dedup, ngram_jaccard, substring_dedup
+
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op8_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
+    }

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm._kernels import Words, as_text, chunks, grams, mix, signed, tidy
+from glyphloom.llm._kernels import Words, as_text, chunks, grams, grams_at, mix, signed, tidy
 from glyphloom.llm._stage import Workspace
 
 WINDOW = 13
@@ -80,10 +80,11 @@ class _Windows:
         self.fp = sliding_min(grams(h, seed), window - seed + 1)[self.at]
         self._h, self._n = h, window
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.at):
-            return self.fp, self.fp
-        return grams(self._h, self._n)[self.at], grams(self.words.hashes(1), self._n)[self.at]
+    def digests(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each of some windows."""
+        if not len(some):
+            return self.fp[:0], self.fp[:0]
+        return tuple(grams_at(h, self._n, self.at[some]) for h in (self._h, self.words.hashes(1)))
 
 
 def _fingerprints(window: int, seed: int):
@@ -128,19 +129,19 @@ def _segments(window: int, seed: int):
                         hit[a:b] = np.isin(w.fp[a:b], fps)
                 if not hit.any():
                     continue
-                d1, d2 = w.digests()
                 new = np.ones(len(w.at), dtype=bool)
                 new[1:] = (w.fp[1:] != w.fp[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(new)
                 size = np.diff(np.append(first, len(w.at)))
-                with np.errstate(over="ignore"):
-                    s1, s2 = (np.add.reduceat(mix(d), first) for d in (d1, d2))
                 keep = hit[first]
                 first, size = first[keep], size[keep]
+                # a segment's windows are hit or not together
+                with np.errstate(over="ignore"):
+                    s1, s2 = (np.add.reduceat(mix(d), np.cumsum(size) - size) for d in w.digests(np.flatnonzero(hit)))
                 row = doc[first]
                 pos = w.at[first] - w.words.first[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(s1[keep])), pa.array(signed(s2[keep])), pa.array(signed(w.fp[first])), pa.array(ids[i:j][row]), pa.array(th[i:j][row]), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    [pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signed(w.fp[first])), pa.array(ids[i:j][row]), pa.array(th[i:j][row]), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))],
                     names=["s1", "s2", "fp", "doc_id", "th", "pos", "len"],
                 )
 
@@ -165,11 +166,11 @@ def _single_windows(window: int, seed: int):
                     np.add.at(marks, a, 1)
                     np.add.at(marks, a + s.field("len").to_numpy(zero_copy_only=False), -1)
                 keep = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-                d1, d2 = w.digests()
+                d1, d2 = w.digests(keep)
                 row = doc[keep]
                 pos = w.at[keep] - w.words.first[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(d1[keep])), pa.array(signed(d2[keep])), pa.array(ids[i:j][row]), pa.array(th[i:j][row]), pa.array(pos.astype(np.int32))], names=["d1", "d2", "doc_id", "th", "pos"]
+                    [pa.array(signed(d1)), pa.array(signed(d2)), pa.array(ids[i:j][row]), pa.array(th[i:j][row]), pa.array(pos.astype(np.int32))], names=["d1", "d2", "doc_id", "th", "pos"]
                 )
 
     return run
@@ -224,14 +225,14 @@ class FingerprintIndex:
         self.runs.append((level, name))
 
     def add(self, rows: DataFrame) -> None:
-        """Writes a new run, then compacts."""
+        """Writes a new run, then compacts; a document is in one run only, so compacted rows stay different."""
         self._write(rows, 0)
         level = 0
         while len(same := [r for r in self.runs if r[0] == level]) >= self.fan:
             rows = self.spark.table(same[0][1])
             for _, name in same[1:]:
                 rows = rows.union(self.spark.table(name))
-            self._write(rows.distinct(), level + 1)
+            self._write(rows, level + 1)
             self.runs = [r for r in self.runs if r not in same]
             for _, name in same:
                 self.spark.sql(f"DROP TABLE {name}")
@@ -248,7 +249,7 @@ class FingerprintIndex:
 
 
 def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Workspace, last: bool, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The copied stretches (doc_id, th, pos, len) of a batch and the texts they lie in; adds the batch to the index unless it is the last."""
+    """The copied stretches (doc_id, th, at) of a batch and the texts they lie in; adds the batch to the index unless it is the last."""
     fps = batch.select("doc_id", "text").mapInArrow(tidy(_fingerprints(window, seed)), "fp long, doc_id long")
     seen = fps.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     for k, run in enumerate(index.tables()):
@@ -279,16 +280,18 @@ def _copies(batch: DataFrame, upto: DataFrame, index: FingerprintIndex, work: Wo
     one = texts.select("doc_id", "th", "text").join(rest, ["doc_id", "th"]).select("doc_id", "th", "text", "at")
     one = work.keep(one.mapInArrow(tidy(_single_windows(window, seed)), "d1 long, d2 long, doc_id long, th long, pos int"), "windows")
     low = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("d1", "d2", "lo")
-    low = work.keep(low, "shared-windows")  # a join of two tables, so that the rows of a hot window are split between tasks
+    # a join of two tables, so that the rows of a hot window are split between tasks
+    low = work.keep(low, "shared-windows")
     single = one.join(low.hint("shuffle_merge"), ["d1", "d2"]).where("doc_id > lo").select("doc_id", "th", "pos", F.lit(1).alias("len"))
 
     copies = ruled.where("copy").select("doc_id", "th", "pos", "len").union(single)
     copies = copies.join(batch.select("doc_id").distinct(), "doc_id", "left_semi") if index.runs else copies
     copies = work.keep(copies.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "len")).alias("at")), "copies")
     if not last:
-        index.add(seen.where("not hit").select("fp", F.col("lo").alias("doc_id")).union(first.select("fp", "doc_id")).distinct())
-    work.drop(seen, ruled, one)
-    return copies, texts.select("doc_id", "th", "text")
+        # a fingerprint that is no hit has one row
+        index.add(seen.where("not hit").select("fp", F.col("lo").alias("doc_id")).union(first.select("fp", "doc_id").distinct()))
+    work.drop(seen, ruled, one, low)
+    return copies, texts
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, batches: int = BATCHES, fan: int = FAN, index: str | None = None, since: int | None = None) -> DataFrame:
@@ -316,11 +319,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bat
             until = ids if upto is None else ids.where(F.col("doc_id") <= upto)
             batch = until if above is None else until.where(F.col("doc_id") > above)
             copies, texts = _copies(batch, until, runs, work, index is None and k == len(bounds) - 2, window, seed)
-            cut.append(texts.join(copies, ["doc_id", "th"]).select("doc_id", "th", "text", "at").mapInArrow(tidy(_digest_rows(window, True)), schema))
+            kept = texts.join(copies, ["doc_id", "th"]).select("doc_id", "th", "text", "at").mapInArrow(tidy(_digest_rows(window, True)), schema)
+            cut.append(work.keep(kept, "changed"))
+            work.drop(copies, texts)
         changed = cut[0]
         for c in cut[1:]:
             changed = changed.union(c)
-        changed = work.keep(changed, "changed")
     finally:
         if index is None:
             runs.close()
@@ -330,3 +334,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bat
     # changed rows grow with the input: never broadcast
     both = whole.join(changed.hint("shuffle_merge"), ["doc_id", "th"], "left")
     return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), win AS (
+  SELECT doc_id, k, md5(array_to_string(ws[k:k + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {WINDOW - 1})) AS k FROM w)
+), lows AS (
+  SELECT h, min(doc_id) AS lo FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, k + o AS p FROM win JOIN lows USING (h), range({WINDOW}) AS t(o) WHERE doc_id > lo
+), word AS (
+  SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON w.doc_id = g.doc_id
+"""
