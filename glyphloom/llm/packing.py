@@ -31,6 +31,7 @@ an empty table.  Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import random
 import zlib
 from collections.abc import Callable, Iterator
@@ -75,6 +76,82 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+class Merges:
+    """The merges of a byte-level vocabulary, made for many units at once.
+
+    As in the library: of a unit's adjacent pairs the one of least rank is merged,
+    the leftmost of equal ones, until no pair has a rank.
+    """
+
+    NONE = np.int64(1 << 30)
+    # Bytes of a unit at most; the library takes longer ones.
+    LONGEST = 64
+
+    def __init__(self, model: dict, letters: dict[int, str]):
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int64)
+        self.final = np.array([vocab[letters[b] + end] for b in range(256)], dtype=np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.rank = np.argsort(key, kind="stable")
+        self.key = key[self.rank]
+
+    @classmethod
+    def of(cls, path: str, letters: dict[int, str]) -> Merges | None:
+        """None for vocabularies with rules of other kinds."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "BPE" or not model["merges"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        end = model.get("end_of_word_suffix") or ""
+        return cls(model, letters) if all(x in model["vocab"] and x + end in model["vocab"] for x in letters.values()) else None
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        return np.where(self.key[at] == key, self.rank[at], self.NONE)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers; no text is empty."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        ids, stop = self.inner[raw], np.cumsum(size)
+        ids[stop - 1] = self.final[raw[stop - 1]]
+        rank = np.full(len(ids), self.NONE)
+        rank[:-1] = self._ranks(ids[:-1], ids[1:])
+        rank[stop - 1] = self.NONE
+        unit, out = np.arange(len(texts)), [b""] * len(texts)
+        while len(unit):
+            first = np.cumsum(size) - size
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            live = low >> 32 < self.NONE
+            if not live.all():
+                inside = np.repeat(live, size)
+                done, ends = ids[~inside].astype("<u4").tobytes(), 4 * np.cumsum(size[~live])
+                for k, a, b in zip(unit[~live].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[k] = done[a:b]
+                low = low[live] - (np.cumsum(~inside)[low[live] & 0xFFFFFFFF])
+                ids, rank, unit, size = ids[inside], rank[inside], unit[live], size[live]
+                if not len(unit):
+                    break
+                first = np.cumsum(size) - size
+            at = low & 0xFFFFFFFF
+            ids[at] = self.made[low >> 32]
+            stay = np.ones(len(ids), dtype=bool)
+            stay[at + 1] = False
+            ids, rank, size = ids[stay], rank[stay], size - 1
+            shift = np.arange(len(unit))
+            at, first = at - shift, first - shift
+            right = at < first + size - 1
+            rank[at] = self.NONE
+            rank[at[right]] = self._ranks(ids[at[right]], ids[at[right] + 1])
+            left = at[at > first]
+            rank[left - 1] = self._ranks(ids[left - 1], ids[left])
+        return out
+
+
 class WordEncoder:
     """Token ids of whole texts, encoding each different pre-token once.
 
@@ -96,6 +173,7 @@ class WordEncoder:
         self.merges.normalizer = None
         self.merges.pre_tokenizer = None
         self.letters = _byte_letters()
+        self.many = Merges.of(path, self.letters)
         self.forget()
 
     def forget(self) -> None:
@@ -136,13 +214,20 @@ class WordEncoder:
         end = np.minimum(edge, w.end[word])
         return start, end, word, whole[word]
 
-    def _learn(self, texts: list[bytes], whole: np.ndarray) -> list[list[int]]:
-        coded = [t.decode("utf-8", "replace") if full else t.decode("latin-1").translate(self.letters) for t, full in zip(texts, whole.tolist(), strict=True)]
-        out: list[list[int]] = [[]] * len(texts)
-        for tokenizer, index in ((self.full, np.flatnonzero(whole)), (self.merges, np.flatnonzero(~whole))):
-            index = index.tolist()
-            for i, e in zip(index, tokenizer.encode_batch_fast([coded[i] for i in index], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+    def _learn(self, texts: list[bytes], whole: np.ndarray) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain = np.flatnonzero(~whole).tolist()
+        if self.many:
+            short = [i for i in plain if len(texts[i]) <= Merges.LONGEST]
+            plain = [i for i in plain if len(texts[i]) > Merges.LONGEST]
+            for i, ids in zip(short, self.many.encode([texts[i] for i in short]), strict=True):
+                out[i] = ids
+        for tokenizer, index, words in (
+            (self.full, full := np.flatnonzero(whole).tolist(), [texts[i].decode("utf-8", "replace") for i in full]),
+            (self.merges, plain, [texts[i].decode("latin-1").translate(self.letters) for i in plain]),
+        ):
+            for i, e in zip(index, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,19 +246,20 @@ class WordEncoder:
             h = units.hashes() ^ (units.hashes(1) * np.uint64(0x9E3779B97F4A7C15)) ^ whole.astype(np.uint64)
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         texts = units.strings(first)
-        keys = [t + b" " if full else t for t, full in zip(texts, whole[first].tolist(), strict=True)]
+        keys, full = texts.copy(), whole[first]
+        for k in np.flatnonzero(full).tolist():
+            keys[k] += b" "
         young, old = self.young, self.old
-        coded = [young.get(key) for key in keys]
+        coded = list(map(young.get, keys))
         new = []
-        for k, ids in enumerate(coded):
-            if ids is None:
-                if (ids := old.get(keys[k])) is None:
-                    new.append(k)
-                else:
-                    coded[k] = young[keys[k]] = ids
+        for k in [k for k, ids in enumerate(coded) if ids is None]:
+            if (ids := old.get(keys[k])) is None:
+                new.append(k)
+            else:
+                coded[k] = young[keys[k]] = ids
         if new:
-            for k, ids in zip(new, self._learn([texts[k] for k in new], whole[first[new]]), strict=True):
-                coded[k] = young[keys[k]] = np.array(ids, dtype="<u4").tobytes()
+            for k, ids in zip(new, self._learn([texts[k] for k in new], full[new]), strict=True):
+                coded[k] = young[keys[k]] = ids
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), "<u4")
         begin = np.cumsum(sizes) - sizes
@@ -222,7 +308,8 @@ Bins = list[list[int]]
 
 def best_fit(bins: Bins, items: list[int], size: list[int], capacity: int) -> Bins:
     """Puts items, longest first, each into the fullest bin that holds it; changes ``bins``."""
-    room = sorted((capacity - sum(size[i] for i in b), k) for k, b in enumerate(bins))
+    at_size = size.__getitem__
+    room = sorted((capacity - sum(map(at_size, b)), k) for k, b in enumerate(bins))
     for i in sorted(items, key=lambda i: (-size[i], i)):
         at = bisect.bisect_left(room, (size[i], -1))
         if at == len(room):
@@ -238,12 +325,14 @@ def best_fit(bins: Bins, items: list[int], size: list[int], capacity: int) -> Bi
 
 def fitness(bins: Bins, size: list[int], capacity: int) -> tuple:
     """Less is better."""
-    return (len(bins), -sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins))
+    at_size = size.__getitem__
+    return (len(bins), -sum((sum(map(at_size, b)) / capacity) ** 2 for b in bins))
 
 
 def crossover(one: Bins, two: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
     """Bins of ``one``, well filled ones first by odds, injected into ``two``."""
-    filled = sorted(one, key=lambda b: -sum(size[i] for i in b))
+    at_size = size.__getitem__
+    filled = sorted(one, key=lambda b: -sum(map(at_size, b)))
     take = filled[: max(1, len(filled) // 2)]
     inject = rng.sample(take, max(1, len(take) * rng.randint(3, 9) // 10))
     taken = {i for b in inject for i in b}
@@ -258,7 +347,8 @@ def crossover(one: Bins, two: Bins, size: list[int], capacity: int, rng: random.
 
 def mutate(bins: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
     """Breaks up the least filled bins and a few others, and best-fits their pieces."""
-    order = sorted(bins, key=lambda b: sum(size[i] for i in b))
+    at_size = size.__getitem__
+    order = sorted(bins, key=lambda b: sum(map(at_size, b)))
     gone = order[: max(1, len(order) // 50)] + rng.sample(order, min(len(order), 2))
     ids = {id(b) for b in gone}
     return best_fit([list(b) for b in bins if id(b) not in ids], list({i for b in gone for i in b}), size, capacity)
@@ -275,13 +365,20 @@ def found(size: list[int], capacity: int, population: int, rng: random.Random, k
     return sorted(people, key=lambda b: fitness(b, size, capacity))
 
 
-def generation(people: list[Bins], size: list[int], capacity: int, rng: random.Random) -> list[Bins]:
-    """The people, best first, after one child took the place of the worst (the child itself, if it is)."""
-    a, b = rng.sample(people, 2)
-    child = crossover(a, b, size, capacity, rng)
-    if rng.random() < 0.5:
-        child = mutate(child, size, capacity, rng)
-    return sorted([*people, child], key=lambda x: fitness(x, size, capacity))[:-1]
+def generations_on(people: list[Bins], generations: int, size: list[int], capacity: int, rng: random.Random) -> list[Bins]:
+    """The people, best first, after so many generations; in each, one child takes the place of the worst (the child itself, if it is)."""
+    worth = [fitness(b, size, capacity) for b in people]
+    for _ in range(generations):
+        if len(people) < 2 or len(people[0]) < 2:
+            break
+        a, b = rng.sample(people, 2)
+        child = crossover(a, b, size, capacity, rng)
+        if rng.random() < 0.5:
+            child = mutate(child, size, capacity, rng)
+        value = fitness(child, size, capacity)
+        at = bisect.bisect_right(worth, value)
+        people, worth = [*people[:at], child, *people[at:]][:-1], [*worth[:at], value, *worth[at:]][:-1]
+    return people
 
 
 def _written(bins: Bins, n: int) -> bytes:
@@ -352,9 +449,7 @@ def _epoch(capacity: int, number: int, generations: int) -> Callable:
                 if row["guest"] is not None:
                     people = sorted([*people[:-1], _read(row["guest"])], key=lambda b: fitness(b, size, capacity))
                 rng = random.Random((row["cell"] * 1000 + row["island"]) * 100 + number)
-                for _ in range(generations):
-                    if len(people) > 1 and len(people[0]) > 1:
-                        people = generation(people, size, capacity, rng)
+                people = generations_on(people, generations, size, capacity, rng)
                 yield _island(row["cell"], row["island"], row["pieces"], row["sizes"], people, capacity)
 
     return run
@@ -412,9 +507,7 @@ def evolve(size: list[int], capacity: int = CAPACITY, seed: int = 0, islands: in
             worlds = [sorted([*people[:-1], elite[k - 1]], key=lambda b: fitness(b, size, capacity)) for k, people in enumerate(worlds)]
         for k in range(islands):
             rng = random.Random((seed * 1000 + k) * 100 + number)
-            for _ in range(generations):
-                if len(worlds[k]) > 1 and len(worlds[k][0]) > 1:
-                    worlds[k] = generation(worlds[k], size, capacity, rng)
+            worlds[k] = generations_on(worlds[k], generations, size, capacity, rng)
     return min((people[0] for people in worlds), key=lambda b: fitness(b, size, capacity))
 
 

@@ -361,6 +361,17 @@ def test_genetic_packing_beats_best_fit():
     assert better > 0
 
 
+def test_merges_as_the_library():
+    path = packing.default_tokenizer()
+    enc = packing.encoder(path)
+    rng = np.random.default_rng(4)
+    units = [bytes(rng.choice(list(b"abcdeinorst"), int(n)).tolist()) for n in rng.integers(1, packing.Merges.LONGEST + 1, 3000)]
+    units += [b"a" * n for n in range(1, packing.Merges.LONGEST + 1)] + [b"7", "déjà".encode(), b"!!!???...", b"abab" * 9]
+    want = [e.ids for e in enc.merges.encode_batch_fast([u.decode("latin-1").translate(enc.letters) for u in units], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.many.encode(units)] == want
+    assert enc.many.encode([]) == []
+
+
 def test_genetic_packing_on_islands(spark, monkeypatch):
     """The distributed islands of one cell do what ``evolve`` does; cells share their gaps at further levels."""
     rng = np.random.default_rng(9)
