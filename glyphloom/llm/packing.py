@@ -48,8 +48,8 @@ CAPACITY = 4096
 CELL = 2048
 ISLANDS = 2
 POPULATION = 4
-EPOCHS = 2
-GENERATIONS = 4
+EPOCHS = 3
+GENERATIONS = 12
 LEFT = 0.125
 # A bin as full as this has no gap worth sharing.
 FULL = 0.999
