@@ -15,7 +15,9 @@ Method (AdaptJoin; Wang, Li & Feng, SIGMOD 2012, spread over a cluster):
   at least one light gram.  Only light grams generate pairs, each at most
   ``light`` per row.
 * A pair is verified only when it shares so many prefix grams that the required
-  overlap can still be reached.
+  overlap can still be reached, and when the parity sketches of the two sets do
+  not differ in more cells than the sets may in members.  Texts are carried only
+  for those pairs.
 * First each document is compared with the pivot document it shares most grams
   with (a star); pairs inside one component need no further comparison, so a
   group of copies costs one comparison for each member, not all pairs.
@@ -83,12 +85,29 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of a set's numbers in each of 2 to 4 cells a member, by the low bits of its hashes."""
+    cells = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """No more than the number of members that only one of two sets has: each of them turns one parity."""
+    if len(one) < len(two):
+        one, two = two, one
+    a, cells = int.from_bytes(one, "little"), 8 * len(one)
+    while cells > 8 * len(two):
+        cells //= 2
+        a = (a >> cells) ^ (a & ((1 << cells) - 1))
+    return (a ^ int.from_bytes(two, "little")).bit_count()
+
+
 def _profiles(words: int, percent: int):
     odd = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def run(batches):
         for batch in batches:
-            sizes, c1, c2, prefix, plen = [], [], [], [], []
+            sizes, c1, c2, prefix, plen, parity = [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in gram_sets(batch.column(1), words):
                     n = len(s)
@@ -98,9 +117,10 @@ def _profiles(words: int, percent: int):
                     p = s[: n - need(n, percent) + 1] if n else s
                     prefix.append(p)
                     plen.append(len(p))
+                    parity.append(sketch(s) if n else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed(np.array(c1, dtype=np.uint64))), pa.array(signed(np.array(c2, dtype=np.uint64))), list_array(signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64), np.array(plen, dtype=np.int64))],
-                names=["doc_id", "n", "c1", "c2", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed(np.array(c1, dtype=np.uint64))), pa.array(signed(np.array(c2, dtype=np.uint64))), list_array(signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64), np.array(plen, dtype=np.int64)), pa.array(parity, pa.binary())],
+                names=["doc_id", "n", "c1", "c2", "prefix", "sketch"],
             )
 
     return run
@@ -145,12 +165,33 @@ def _verifier(words: int, percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Keeps the pairs whose sketches let them link."""
+
+    def run(batches):
+        for batch in batches:
+            size, sketches = (zip(*(batch.column(c).to_pylist() for c in two), strict=True) for two in ((2, 3), (4, 5)))
+            ok = [(100 + percent) * apart(p, q) <= (100 - percent) * (m + n) for (m, n), (p, q) in zip(size, sketches, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 # Joins that carry texts never broadcast their other side, as that grows with the input.
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    both = pairs.select("x", "y").join(one.hint("shuffle_merge"), "x").join(two.hint("shuffle_merge"), "y").select("x", "y", "tx", "ty")
-    return both.mapInArrow(tidy(_verifier(words, percent)), "x long, y long")
+def _verify(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int, work: Workspace, rows: int) -> DataFrame:
+    """The pairs that link.  Sketches rule out most of the others, so that few texts are carried."""
+    one, two = (sketches.select(F.col("doc_id").alias(d), F.col("n").alias(f"n_{d}"), F.col("sketch").alias(f"s_{d}")).hint("shuffle_merge") for d in ("x", "y"))
+    both = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
+    # rows that repeat a doc_id have a sketch each
+    left = work.keep(both.mapInArrow(tidy(_possible(percent)), "x long, y long").distinct(), "possible")
+    named = left.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    read = work.keep(texts.join(named.hint("shuffle_merge"), "doc_id", "left_semi"), "pair-texts")
+    one = read.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
+    two = read.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+    both = left.join(one.hint("shuffle_merge"), "x").join(two.hint("shuffle_merge"), "y").select("x", "y", "tx", "ty")
+    out = work.keep(both.mapInArrow(tidy(_verifier(words, percent)), "x long, y long"), "linked", WEIGHT * rows)
+    work.drop(left, read)
+    return out
 
 
 def _extend(words: int, percent: int):
@@ -301,7 +342,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = work.keep(docs.mapInArrow(tidy(_profiles(words, percent)), "doc_id long, n long, c1 long, c2 long, prefix array<long>"), "profiles")
+    base = work.keep(docs.mapInArrow(tidy(_profiles(words, percent)), "doc_id long, n long, c1 long, c2 long, prefix array<long>, sketch binary"), "profiles")
     classes = work.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     copies = base.select("doc_id", "n", "c1", "c2").join(classes.where("members > 1"), ["n", "c1", "c2"]).where("doc_id > rep").select("doc_id")
     reps = base.where("n > 0 and doc_id is not null").join(copies.hint("shuffle_merge"), "doc_id", "left_anti")
@@ -311,7 +352,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     rows = work.keep(shared_rows(packed, parts), "shared")
     sizes = work.keep(reps.select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last")).dropDuplicates(["doc"]).join(rows.select("doc").distinct(), "doc", "left_semi"), "sizes")
 
-    slim = work.keep(base.drop("prefix"), "sets")
+    slim = work.keep(base.drop("prefix", "sketch"), "sets")
+    sketches = work.keep(base.where("n > 0 and doc_id is not null").select("doc_id", "n", "sketch"), "sketches")
     work.drop(base)
 
     # Stars: each document with the pivot it shares most grams with, then, in groups
@@ -319,7 +361,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").distinct(), "texts")
     known_docs = sizes.count()
     star = work.keep(_star(rows, sizes, percent, 0.0), "star", known_docs)
-    links = work.keep(_verify(star, texts, words, percent), "star-links", WEIGHT * known_docs)
+    links = _verify(star, texts, sketches, words, percent, work, known_docs)
     tried, linked = star, links
     # only documents with so many heavy grams can share enough of them with a pivot
     crowded = rows.where(F.col("cnt") > light).select("tok", "doc")
@@ -337,7 +379,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
         count = star.count()
         if not count:
             break
-        links = work.keep(_verify(star, texts, words, percent), "star-links", WEIGHT * count)
+        links = _verify(star, texts, sketches, words, percent, work, count)
         tried, linked = tried.union(star), linked.union(links)
         if links.count() < YIELD * count:
             comp = work.keep(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")), work, rows=known_docs), "star-components", known_docs)
@@ -387,7 +429,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
         candidates = candidates.union(f)
     tried = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     candidates = work.keep(candidates.distinct().join(tried, ["x", "y"], "left_anti"), "candidates")
-    more = _verify(candidates, texts, words, percent)
+    more = _verify(candidates, texts, sketches, words, percent, work, known_docs)
     if hard is not None:
         more = more.union(_families(hard, texts, parts, words, percent, work))
     more = work.keep(more, "more-links", WEIGHT * known_docs)

@@ -123,6 +123,25 @@ def test_jaccard_join(docs):
         assert got == Counter((i, len(s), None if i is None else u.find(i)) for i, s in sets)
 
 
+def test_jaccard_sketches():
+    """Sketches never rule out a pair that links, and nearly every pair far from it."""
+    rng = np.random.default_rng(11)
+    out = Counter()
+    for _ in range(4000):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        kept = a[rng.random(n) < rng.choice([0.3, 0.8, 0.9, 1.0])]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)]))
+        a = np.unique(a)
+        both, different = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
+        far = ngram_jaccard.apart(ngram_jaccard.sketch(a), ngram_jaccard.sketch(b))
+        assert far <= different and far == ngram_jaccard.apart(ngram_jaccard.sketch(b), ngram_jaccard.sketch(a))
+        kind = "linked" if 100 * both >= 75 * (len(a) + len(b) - both) else "far" if 2 * both < len(a) + len(b) - both and n > 50 else None
+        out[kind, 175 * far <= 25 * (len(a) + len(b))] += 1
+    assert out["linked", True] > 500 and not out["linked", False]
+    assert out["far", False] > 500 and out["far", True] < 0.02 * out["far", False], out
+
+
 def test_jaccard_heavy_groups(spark):
     """Near copies and shared boilerplate, both beyond the light count."""
     rng = np.random.default_rng(3)
