@@ -59,6 +59,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        self._kept: set[str] = set()
         _made.append(self.path)
 
     def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -81,6 +82,7 @@ class Workspace:
                 self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
+        self._kept.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -89,6 +91,13 @@ class Workspace:
             if path := getattr(t, "_staged", None):
                 _delete(self.spark, path)
 
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Deletes the tables staged here but these."""
+        stay = {t._staged for t in tables}
+        for path in self._kept - stay:
+            _delete(self.spark, path)
+        self._kept &= stay
+
 
 def _stats(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).first()

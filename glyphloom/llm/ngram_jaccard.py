@@ -433,9 +433,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     if hard is not None:
         more = more.union(_families(hard, texts, parts, words, percent, work))
     more = work.keep(more, "more-links", WEIGHT * known_docs)
-    work.drop(texts, mixed)
     both = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = work.keep(components(both, work, rows=known_docs), "components", known_docs)
+    work.drop_but(slim, classes, comp)
 
     member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     return slim.join(member, ["n", "c1", "c2"], "left").select(

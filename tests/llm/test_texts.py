@@ -5,12 +5,13 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from glyphloom.llm import decontamination as dec
-from glyphloom.llm import hmm_lm, language_id, line_dedup, ngram_jaccard, packing, substring_dedup, token_counts
+from glyphloom.llm import _stage, hmm_lm, language_id, line_dedup, ngram_jaccard, packing, substring_dedup, token_counts
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,6 +143,13 @@ def test_jaccard_sketches():
     assert out["far", False] > 500 and out["far", True] < 0.02 * out["far", False], out
 
 
+def test_jaccard_leaves_few_tables(docs):
+    """Of its staged tables only the three that the result reads stay."""
+    got = ngram_jaccard.jaccard_join(docs)
+    assert len(list(Path(_stage._made[-1].removeprefix("file:")).iterdir())) == 3
+    assert got.count() == docs.count()
+
+
 def test_jaccard_heavy_groups(spark):
     """Near copies and shared boilerplate, both beyond the light count."""
     rng = np.random.default_rng(3)
