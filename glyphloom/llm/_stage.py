@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _made: list[str] = []
+# Bucketed tables are known to the catalog by a name; the path of each.
+_tables: dict[str, str] = {}
 ROWS_A_FILE = 20_000
 LEAST_FILES = 12
 
@@ -40,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    for at in [at for at in _tables if f"{at}/".startswith(f"{path}/")]:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(at)}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -62,8 +66,12 @@ class Workspace:
         self._kept: set[str] = set()
         _made.append(self.path)
 
-    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Writes the rows and reads them back; where about ``rows`` are known to come, in no more files than they need."""
+    def keep(self, df: DataFrame, name: str, rows: int | None = None, by: str | None = None) -> DataFrame:
+        """Writes the rows and reads them back; where about ``rows`` are known to come, in no more files than they need.
+
+        With ``by`` the table is bucketed by that column as a shuffle would deal it, so joins on it shuffle their other side only;
+        let the rows come dealt so, or each task writes a file for each bucket.
+        """
         self._count += 1
         if rows is not None:
             few, parts = max(LEAST_FILES, -(-rows // ROWS_A_FILE)), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -74,13 +82,17 @@ class Workspace:
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            if by:
+                _tables[path] = f"glyphloom_staged_{uuid.uuid4().hex}"
+                df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by).sortBy(by).option("compression", "zstd").option("path", path).saveAsTable(_tables[path])
+            else:
+                df.write.option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)
             else:
                 self.spark.conf.set(_CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.table(_tables[path]) if by else self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         self._kept.add(path)
         return out

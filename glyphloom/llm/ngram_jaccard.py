@@ -37,6 +37,8 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -253,12 +255,11 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     a = rows.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("doc", "comp", "n", "last", "rest", "hot")])
     b = rows.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("doc", "comp", "n", "last", "rest", "hot")])
     both = a.join(b, "tok").where("doc_x < doc_y and comp_x <> comp_y").where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-    same = both.groupBy(F.col("doc_x").alias("x"), F.col("doc_y").alias("y")).agg(
-        F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n_x", "n_y", "hot_x", "hot_y", "rest_x", "rest_y", "last_x", "last_y")]
-    )
     wanted = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
     behind = F.when(_u("last_x") < _u("last_y"), F.col("rest_x")).otherwise(F.col("rest_y"))
-    return same.where(F.col("shared") + F.least("hot_x", "hot_y") + behind >= wanted).select("x", "y")
+    # what a pair has to share follows from its documents, so its rows carry that one number
+    same = both.select(F.col("doc_x").alias("x"), F.col("doc_y").alias("y"), (wanted - F.least("hot_x", "hot_y") - behind).cast("int").alias("lack"))
+    return same.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("lack").alias("lack")).where("shared >= lack").select("x", "y")
 
 
 def _star(rows: DataFrame, sizes: DataFrame, percent: int, share: float) -> DataFrame:
@@ -335,6 +336,10 @@ def _families(hard: DataFrame, texts: DataFrame, parts: int, words: int, percent
     return rows.repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj").mapInArrow(tidy(_block_links(words, percent)), "x long, y long")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, tables)
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -350,15 +355,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     # Shared grams, each with its count and a pivot document.
     packed = reps.select("doc_id", "prefix").mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
     rows = work.keep(shared_rows(packed, parts), "shared")
-    sizes = work.keep(reps.select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last")).dropDuplicates(["doc"]).join(rows.select("doc").distinct(), "doc", "left_semi"), "sizes")
+    ends = base.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", F.element_at("prefix", -1).alias("last"))
+    ends = ends.join(copies.withColumnRenamed("doc_id", "doc").hint("shuffle_merge"), "doc", "left_anti").dropDuplicates(["doc"])
+    sizes = work.keep(ends.join(rows.select("doc").distinct(), "doc", "left_semi"), "sizes")
 
     slim = work.keep(base.drop("prefix", "sketch"), "sets")
-    sketches = work.keep(base.where("n > 0 and doc_id is not null").select("doc_id", "n", "sketch"), "sketches")
+    sketches = work.keep(base.where("n > 0 and doc_id is not null").select("doc_id", "n", "sketch").repartition(parts, "doc_id"), "sketches", by="doc_id")
     work.drop(base)
 
     # Stars: each document with the pivot it shares most grams with, then, in groups
     # of heavy grams, with other pivots as long as that links components.
-    texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").distinct(), "texts")
+    texts = work.keep(docs.join(sizes.select(F.col("doc").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").distinct(), "texts", by="doc_id")
     known_docs = sizes.count()
     star = work.keep(_star(rows, sizes, percent, 0.0), "star", known_docs)
     links = _verify(star, texts, sketches, words, percent, work, known_docs)
@@ -401,17 +408,20 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
 
     # Documents with heavy grams: longer prefixes.  A gram is heavy here if more than REACH * light of these prefixes hold it.
     wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy", known_docs)
-    grams_ = hard = None
+    hard = None
+    # Tables of grams by document; what a later one has is left out of those before.
+    grams_: list[DataFrame] = []
     while wanted.limit(1).count():
         ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(tidy(_extend(words, percent)), "doc_id long, grams array<long>")
-        grams_ = work.keep(ext if grams_ is None else grams_.join(wanted, "doc_id", "left_anti").union(ext), "extended")
-        packed = grams_.mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
+        grams_ = [g.join(wanted.hint("shuffle_merge"), "doc_id", "left_anti") for g in grams_] + [work.keep(ext, "extended", by="doc_id")]
+        packed = _union(grams_).mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
         rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "extended-rows")
         split = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
         extended = work.keep(rows.join(split, "tok", "left_semi"), "extended-mixed")
         work.drop(rows)
         skip = extended.where(F.col("cnt") > REACH * light).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("tok").alias("skip"))
-        sized = grams_.join(about.select(F.col("doc").alias("doc_id"), "n"), "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip")
+        known_n = about.select(F.col("doc").alias("doc_id"), "n")
+        sized = _union([g.join(known_n, "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip") for g in grams_])
         meta = work.keep(sized.mapInArrow(tidy(_resolve(percent)), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
         wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open", known_docs)
         if wanted.limit(1).count():
@@ -424,9 +434,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
         hard = work.keep(mixed.join(whole, "doc", "left_semi").select("tok", "doc"), "hard")
         break
 
-    candidates = found[0]
-    for f in found[1:]:
-        candidates = candidates.union(f)
+    candidates = _union(found)
     tried = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     candidates = work.keep(candidates.distinct().join(tried, ["x", "y"], "left_anti"), "candidates")
     more = _verify(candidates, texts, sketches, words, percent, work, known_docs)

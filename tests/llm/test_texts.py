@@ -171,6 +171,24 @@ def test_jaccard_heavy_groups(spark):
     assert got == {i: u.find(i) for i in sets}
 
 
+def test_jaccard_deals_texts_once(spark, monkeypatch):
+    """Reading some documents' texts or grams again shuffles the list of documents, never the texts."""
+    plans, keep, before = defaultdict(list), _stage.Workspace.keep, dict(_stage._tables)
+
+    def spy(self, df, name, *more, **named):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name, *more, **named)
+
+    monkeypatch.setattr(_stage.Workspace, "keep", spy)
+    rows = [(i, " ".join([f"c{k}" for k in range(40)] + [f"u{i}_{k}" for k in range(30 - i % 25)])) for i in range(40)]
+    ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), light=4).collect()
+    for name in ("pair-texts", "extended"):
+        assert plans[name]
+        for plan in plans[name]:
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+    assert _stage._tables == before and not set(spark.catalog.listTables(pattern="glyphloom_staged*")) - set(before.values())
+
+
 def test_line_dedup(docs):
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(docs).collect())
     seen1, seen2, want, done = set(), set(), Counter(), {}
