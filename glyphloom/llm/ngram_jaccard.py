@@ -62,6 +62,8 @@ YIELD = 0.02
 # Documents of a block, and grams of a matrix, in the comparison of families.
 BLOCK = 256
 WIDE = 8192
+# Cells that tell which grams a later lengthening may bring: a bit each, of up to 1 MB on the driver and in each task; a multiple of 32768.
+CELLS = 1 << 23
 # Pairs whose sets are compared at once, and how many rows without texts one pair counts for in a task.
 SLICE = 512
 WEIGHT = 10
@@ -134,6 +136,42 @@ def _prefix_pairs(batch: pa.RecordBatch):
     yield lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.asarray(batch.column(0)), size)
 
 
+def _sieve(grams_: DataFrame) -> np.ndarray:
+    """A bitmap, of bounded size, of the cells of the grams (tok)."""
+    cell = grams_.select(F.col("tok").bitwiseAND(F.lit(CELLS - 1)).alias("c"))
+    rows = cell.groupBy(F.shiftright("c", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("c").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(CELLS >> 3, dtype=np.uint8)
+    for part, bits in rows:
+        out[part << 12 : (part + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _inside(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = keys & np.uint64(8 * len(sieve) - 1)
+    return (sieve[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _sifted_pairs(sieve: np.ndarray):
+    """The pairs whose gram is in the sieve."""
+
+    def pairs(batch):
+        for keys, docs in _prefix_pairs(batch):
+            some = _inside(sieve, keys)
+            yield keys[some], docs[some]
+
+    return pairs
+
+
+def _outside(sieve: np.ndarray):
+    """The rows whose gram, in the first column, is not in the sieve."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~_inside(sieve, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return run
+
+
 def _verifier(words: int, percent: int):
     """Keeps the pairs of texts that link; texts of one document come in runs, so sets are reused."""
 
@@ -407,25 +445,37 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     found = [_pairs(easy, percent)]
 
     # Documents with heavy grams: longer prefixes.  A gram is heavy here if more than REACH * light of these prefixes hold it.
-    wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot"), "heavy", known_docs)
+    wanted = work.keep(hot.select(F.col("doc").alias("doc_id"), "hot", F.lit(None).cast("long").alias("least")), "heavy", known_docs)
     hard = None
     # Tables of grams by document; what a later one has is left out of those before.
     grams_: list[DataFrame] = []
+    extended = None
     while wanted.limit(1).count():
         ext = texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hot").mapInArrow(tidy(_extend(words, percent)), "doc_id long, grams array<long>")
-        grams_ = [g.join(wanted.hint("shuffle_merge"), "doc_id", "left_anti") for g in grams_] + [work.keep(ext, "extended", by="doc_id")]
-        packed = _union(grams_).mapInArrow(tidy(packing(parts, _prefix_pairs)), PACKED)
-        rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc"), "extended-rows")
+        longer = work.keep(ext, "extended", by="doc_id")
+        grams_ = [g.join(wanted.hint("shuffle_merge"), "doc_id", "left_anti") for g in grams_] + [longer]
+        pairs = _prefix_pairs
+        if extended is not None:
+            # only grams behind the old prefixes of the lengthened documents have new counts: the others' rows stay, and are not dealt again
+            behind_ = longer.join(wanted.hint("shuffle_merge"), "doc_id").select("least", F.explode("grams").alias("tok")).where(_u("tok") > F.col("least"))
+            sieve = _sieve(behind_)
+            pairs = _sifted_pairs(sieve)
+        packed = _union(grams_).mapInArrow(tidy(packing(parts, pairs)), PACKED)
+        rows = work.keep(shared_rows(packed, parts).select("tok", "doc", "cnt").join(about.select("doc", "comp"), "doc").select("tok", "doc", "cnt", "comp"), "extended-rows")
         split = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        extended = work.keep(rows.join(split, "tok", "left_semi"), "extended-mixed")
-        work.drop(rows)
+        fresh = rows.join(split, "tok", "left_semi")
+        if extended is not None:
+            fresh = fresh.union(extended.mapInArrow(tidy(_outside(sieve)), extended.schema))
+        before, extended = extended, work.keep(fresh, "extended-mixed")
+        work.drop(rows, *([before] if before is not None else []))
         skip = extended.where(F.col("cnt") > REACH * light).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("tok").alias("skip"))
         known_n = about.select(F.col("doc").alias("doc_id"), "n")
         sized = _union([g.join(known_n, "doc_id").join(skip, "doc_id", "left").select("doc_id", "n", "grams", "skip") for g in grams_])
         meta = work.keep(sized.mapInArrow(tidy(_resolve(percent)), "doc long, last long, hot long, rest long, full boolean, open boolean"), "resolved")
-        wanted = work.keep(meta.where("open").select(F.col("doc").alias("doc_id"), F.lit(-1).cast("long").alias("hot")), "open", known_docs)
+        # rows that repeat a doc_id are lengthened together
+        wide = meta.groupBy(F.col("doc").alias("doc_id")).agg(F.max("open").alias("open"), F.min(_u("last")).alias("least")).where("open")
+        wanted = work.keep(wide.select("doc_id", F.lit(-1).cast("long").alias("hot"), "least"), "open", known_docs)
         if wanted.limit(1).count():
-            work.drop(extended)
             continue
         ready = extended.where(F.col("cnt") <= REACH * light).join(meta, "doc").where(_u("tok") <= _u("last")).join(about.select("doc", "n"), "doc")
         found.append(_pairs(ready.select("tok", "doc", "comp", "n", "last", "rest", "hot"), percent))

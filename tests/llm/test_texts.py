@@ -189,6 +189,34 @@ def test_jaccard_deals_texts_once(spark, monkeypatch):
     assert _stage._tables == before and not set(spark.catalog.listTables(pattern="glyphloom_staged*")) - set(before.values())
 
 
+def test_jaccard_second_lengthening_deals_new_grams_only(spark, monkeypatch):
+    """When a few documents need yet longer prefixes, the grams of the others are not dealt again, and no link is lost."""
+    counts, keep = [], _stage.Workspace.keep
+
+    def spy(self, df, name, *more, **named):
+        out = keep(self, df, name, *more, **named)
+        if name == "extended-rows":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(_stage.Workspace, "keep", spy)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, " ".join(common + [f"u{i}_{k}" for k in range(16 + i % 25)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*t.split()[:-1], f"v{i}"])) for i, t in rows[::4]]
+    u, sets = Union(), [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in rows]
+    for n, (i, s) in enumerate(sets):
+        for j, t in sets[n + 1 :]:
+            if i != j and 100 * len(s & t) >= 75 * len(s | t):
+                u.join(i, j)
+    want = Counter((i, len(s), u.find(i)) for i, s in sets)
+    for cells in (ngram_jaccard.CELLS, 1 << 15):
+        monkeypatch.setattr(ngram_jaccard, "CELLS", cells)
+        counts.clear()
+        got = ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), light=4)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+        assert len(counts) > 1 and all(2 * c < counts[0] for c in counts[1:]), counts
+
+
 def test_line_dedup(docs):
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(docs).collect())
     seen1, seen2, want, done = set(), set(), Counter(), {}
